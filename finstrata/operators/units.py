@@ -47,7 +47,7 @@ RATIO_METRICS = ("рентабельность", "долг к ebitda")
 #: Two amounts match when they differ by at most this share of the larger.
 TOLERANCE = 0.002
 
-_GROUP = "     '’"
+_GROUP = "     '’"
 _NUMBER = re.compile(r"\d+(?:[%s]\d{3}(?!\d))*(?:[.,]\d+)*" % re.escape(_GROUP))
 _RESULT = T.StructType([
     T.StructField("number", T.DoubleType()), T.StructField("unit_alias", T.StringType()),
@@ -137,7 +137,7 @@ def read_number(text: str | None) -> tuple[float | None, str]:
     n = number_of(m[0])
     if n is None:
         return None, ""
-    before = text[: m.start()].rstrip("  $€₽₸¥").lower()
+    before = text[: m.start()].rstrip(" \u00a0\u202f$€₽₸¥").lower()
     negative = before.endswith(("-", "−", "–", "минус", "minus")) or (before.endswith("(") and ")" in text[m.end() :])
     return (-n if negative else n), m[0]
 
@@ -181,7 +181,7 @@ def _bridges(text: str, a: int, b: int, hits: Sequence[tuple[int, int, str, str]
     for s, e, _, _ in hits:
         for i in range(max(s, a), min(e, b)):
             gap[i - a] = " "
-    return "".join(gap).strip("   )") == ""
+    return "".join(gap).strip(" \u00a0\u202f)") == ""
 
 
 def read_quantity(value: str | None, unit: str | None, currency: str | None, context: str | None, metric: str | None, ratio_metrics: Sequence[str] = RATIO_METRICS):
