@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, cosine_join, leak, splitter, tokenize
+from . import canon, cosine_join, leak, quality, splitter, tokenize
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found)}
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's statistics and kind."""
+    return quality.describe_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly no natural prose."""
+    return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
+
+
+QUERIES = {q.__name__: q for q in (p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLES = {
     "p6_found": r"""
