@@ -63,10 +63,13 @@ def _table_lines(lines: list[str]) -> list[bool]:
 
     def figures(i: int) -> bool:
         d, cells = parsed[i]
-        rest = cells[1:] if len(cells) > 1 else cells
-        if len(cells) < 2 or not rest:
+        if len(cells) < 2 or any(_SENTENCE.search(c.strip()[:-1]) and len(c.split()) > 4 for c in cells):
             return False
-        share = sum(bool(_NUMERIC_CELL.match(c)) for c in rest) / len(rest)
+        rest = cells[1:]
+        figured = [c for c in rest if _NUMERIC_CELL.match(c)]
+        if not any(c.strip() for c in figured):
+            return False
+        share = len(figured) / len(rest)
         return share >= (0.5 if d in ("|", "\t", "  ") else 0.7)
 
     out = []
