@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, cosine_join, leak, quality, splitter, tokenize
+from . import canon, cosine_join, leak, quality, scans, splitter, tokenize
+
+
+def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_noise(table(spark, sf_dir, "sections"), table(spark, sf_dir, "parsed_documents"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines of scanned pages and the kinds of their noise."""
+    return _noise(spark, sf_dir).select("doc_id", "section_idx", "line_no", "noise_kind").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned sections as continuous paragraphs."""
+    return scans.repair_scans(table(spark, sf_dir, "sections"), _noise(spark, sf_dir))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +80,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLES = {
     "p6_found": r"""
