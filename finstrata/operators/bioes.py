@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, OUTSIDE, RISKS
+from ..schemas import SPANS
 from .lemma import word_spans
 
-_SPANS = "array<struct<text:string,label:string,start_pos:int,end_pos:int>>"
 
 
 def _covered(word: Column, span: Column) -> Column:
@@ -31,98 +34,94 @@ def bioes_labels(words: Column, spans: Column) -> Column:
             edge = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
             return F.when(_covered(w, s), F.concat_ws("-", edge, s["label"])).otherwise(acc)
 
-        return F.aggregate(F.coalesce(spans, F.array().cast(_SPANS)), F.lit(OUTSIDE), over)
+        return F.aggregate(F.coalesce(spans, F.array().cast(SPANS)), F.lit(OUTSIDE), over)
 
     return F.transform(words, label)
 
 
 def label_words(df: DataFrame, keys: list[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """``keys``, word_idx (from 0), word, start_pos, end_pos, label."""
-    src = df.select(*keys, F.col(spans).cast(_SPANS).alias("__spans"), word_spans(F.col(text)).alias("__words"))
+    src = df.select(*keys, F.col(spans).cast(SPANS).alias("__spans"), word_spans(F.col(text)).alias("__words"))
     labelled = src.select(*keys, F.posexplode(F.arrays_zip(F.col("__words").alias("w"), bioes_labels(F.col("__words"), F.col("__spans")).alias("label"))).alias("word_idx", "x"))
     return labelled.select(*keys, "word_idx", F.col("x.w.text").alias("word"), F.col("x.w.start_pos").alias("start_pos"), F.col("x.w.end_pos").alias("end_pos"), F.col("x.label").alias("label"))
 
 
-def _edge(label: Column) -> Column:
-    return F.substring_index(label, "-", 1)
-
-
-def _entity(label: Column) -> Column:
-    return F.regexp_replace(label, "^[^-]*-?", "")
-
-
-def decode_bioes(words: Column, labels: Column) -> Column:
-    """Spans of word labels.  Any label opens a span where none is open; B and S close one and open another, E closes with the opener's entity, I of another entity closes and opens, O closes."""
-    span = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("label"))
-    zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("label"), F.lit(0).alias("i"), F.array(span).alias("out"))
-
-    def state(at: Column, label: Column, i: Column, out: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), label.alias("label"), (i + 1).alias("i"), out.alias("out"))
-
-    def step(s: Column, tag: Column) -> Column:
-        i, edge, entity = s["i"], _edge(tag), _entity(tag)
-        opened = s["at"] >= 0
-
-        def closed(end: Column) -> Column:
-            return F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), end.alias("b"), s["label"].alias("label"))))
-
-        none = F.lit(-1)
-        return (
-            F.when(tag == OUTSIDE, state(none, F.lit(""), i, F.when(opened, closed(i)).otherwise(s["out"])))
-            .when(~opened, state(i, entity, i, s["out"]))
-            .when(edge.isin("B", "S"), state(i, entity, i, closed(i)))
-            .when(edge == "E", state(none, F.lit(""), i, closed(i + 1)))
-            .when((edge == "I") & (entity != s["label"]), state(i, entity, i, closed(i)))
-            .otherwise(state(s["at"], s["label"], i, s["out"]))
-        )
-
-    def finish(s: Column) -> Column:
-        last = F.array(F.struct(s["at"].alias("a"), s["i"].alias("b"), s["label"].alias("label")))
-        return F.when(s["at"] >= 0, F.concat(s["out"], last)).otherwise(s["out"])
-
-    found = F.aggregate(labels, zero, step, finish)
-    real = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
-    return F.transform(real, lambda x: F.struct(
-        F.array_join(F.transform(F.slice(words, x["a"] + 1, x["b"] - x["a"]), lambda w: w["text"]), " ").alias("text"), x["label"].alias("label"),
-        F.get(words, x["a"])["start_pos"].alias("start_pos"), F.get(words, x["b"] - 1)["end_pos"].alias("end_pos"),
-    ))
-
-
-def decode_predictions(words: Column, labels: Column, probs: Column) -> Column:
-    """ARRAY<STRUCT<text, label, confidence>> of predicted labels: S stands alone, an orphan E is a word, I and E go on whatever their entity, confidence is the first word's."""
-    span = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("label"), F.lit(0.0).alias("p"))
-    zero = F.struct(F.lit(-1).alias("at"), F.lit("").alias("label"), F.lit(0.0).alias("p"), F.lit(0).alias("i"), F.array(span).alias("out"))
-
-    def state(at: Column, label: Column, p: Column, i: Column, out: Column) -> Column:
-        return F.struct(at.cast("int").alias("at"), label.alias("label"), p.cast("double").alias("p"), (i + 1).alias("i"), out.alias("out"))
-
-    def one(a: Column, b: Column, label: Column, p: Column) -> Column:
-        return F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), label.alias("label"), p.cast("double").alias("p")))
-
-    def step(s: Column, x: Column) -> Column:
-        i, edge, entity = s["i"], _edge(x["label"]), _entity(x["label"])
-        opened = s["at"] >= 0
-        flushed = F.when(opened, F.concat(s["out"], one(s["at"], i, s["label"], s["p"]))).otherwise(s["out"])
-        at = F.when(opened, s["at"]).otherwise(i)
-        name, p = F.when(opened, s["label"]).otherwise(entity), F.when(opened, s["p"]).otherwise(x["p"])
-        none = F.lit(-1)
-        return (
-            F.when(x["label"] == OUTSIDE, state(none, F.lit(""), F.lit(0.0), i, flushed))
-            .when(edge == "S", state(none, F.lit(""), F.lit(0.0), i, F.concat(flushed, one(i, i + 1, entity, x["p"]))))
-            .when(edge == "B", state(i, entity, x["p"], i, flushed))
-            .when(edge == "E", state(none, F.lit(""), F.lit(0.0), i, F.concat(s["out"], one(at, i + 1, name, p))))
-            .when(edge == "I", state(at, name, p, i, s["out"]))
-            .otherwise(state(s["at"], s["label"], s["p"], i, s["out"]))
-        )
-
-    def finish(s: Column) -> Column:
-        return F.when(s["at"] >= 0, F.concat(s["out"], one(s["at"], s["i"], s["label"], s["p"]))).otherwise(s["out"])
-
-    found = F.aggregate(F.arrays_zip(labels.alias("label"), probs.alias("p")), zero, step, finish)
-    real = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
-    return F.transform(real, lambda x: F.struct(
-        F.array_join(F.slice(words, x["a"] + 1, x["b"] - x["a"]), " ").alias("text"), x["label"].alias("label"), x["p"].alias("confidence"),
-    ))
+def spans_of_labels(labels: list[str]) -> list[tuple[int, int, str]]:
+    """(first word, end word, entity) of word labels.
+
+    Any label opens a span where none is open; B and S close one and open another; E closes with the opener's entity;
+    I of another entity closes and opens; O closes; the end closes.
+    """
+    out: list[tuple[int, int, str]] = []
+    at, entity = -1, ""
+    for i, tag in enumerate(labels):
+        edge, _, kind = tag.partition("-")
+        if at < 0:
+            if tag != OUTSIDE:
+                at, entity = i, kind
+            continue
+        if tag == OUTSIDE or edge == "E":
+            out.append((at, i + (edge == "E"), entity))
+            at = -1
+        elif edge in ("B", "S") or edge == "I" and kind != entity:
+            out.append((at, i, entity))
+            at, entity = i, kind
+    return out + ([(at, len(labels), entity)] if at >= 0 else [])
+
+
+def spans_of_predictions(labels: list[str]) -> list[tuple[int, int, str]]:
+    """(first word, end word, entity) of predicted labels: S stands alone, an orphan E is a word, I and E go on whatever their entity."""
+    out: list[tuple[int, int, str]] = []
+    at, entity = -1, ""
+    for i, tag in enumerate(labels):
+        edge, _, kind = tag.partition("-")
+        if at >= 0 and edge in (OUTSIDE, "S", "B"):
+            out.append((at, i, entity))
+            at = -1
+        if edge == "S":
+            out.append((i, i + 1, kind))
+        elif edge in ("B", "I", "E") and at < 0:
+            at, entity = i, kind
+        if edge == "E":
+            out.append((at, i + 1, entity))
+            at = -1
+    return out + ([(at, len(labels), entity)] if at >= 0 else [])
+
+
+def _mapped(df: DataFrame, keys: list[str], inputs: list[Column], made: str, kind: str, one: Callable) -> DataFrame:
+    """``keys`` and ``made``, by ``one`` of each row's ``inputs``; a state machine over lists, run in Arrow batches."""
+    src = df.select(*keys, *[c.alias(f"__{i}") for i, c in enumerate(inputs)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keys)]) + f", `{made}` {kind}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            columns = [b[f"__{i}"] for i in range(len(inputs))]
+            out = [[] if any(x is None for x in r) else one(*r) for r in zip(*columns, strict=True)]
+            yield b[keys].assign(**{made: pd.Series(out, dtype=object, index=b.index)})
+
+    return src.mapInPandas(run, schema)
+
+
+def decode_bioes(df: DataFrame, keys: list[str], words: str = "words", labels: str = "labels") -> DataFrame:
+    """``keys`` and ``spans`` (text, label, start_pos, end_pos) of label lists over word lists; a span's text is its words joined by blanks.
+
+    Null words or labels have no spans.
+    """
+
+    def one(w, s, e, t) -> list[dict]:
+        return [{"text": " ".join(w[a:b]), "label": k, "start_pos": s[a], "end_pos": e[b - 1]} for a, b, k in spans_of_labels(list(t))]
+
+    w = F.col(words)
+    return _mapped(df, keys, [w["text"], w["start_pos"], w["end_pos"], F.col(labels)], "spans", SPANS, one)
+
+
+def decode_predictions(df: DataFrame, keys: list[str], words: str = "words", labels: str = "labels", probs: str = "probs") -> DataFrame:
+    """``keys`` and ``spans`` (text, label, confidence) of predicted labels; confidence is the first word's probability."""
+
+    def one(w, t, p) -> list[dict]:
+        return [{"text": " ".join(w[a:b]), "label": k, "confidence": p[a]} for a, b, k in spans_of_predictions(list(t))]
+
+    return _mapped(df, keys, [F.col(words)["text"], F.col(labels), F.col(probs)], "spans", "array<struct<text: string, label: string, confidence: double>>", one)
 
 
 def continuation_label(label: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,13 +80,16 @@ def ner_examples(df: DataFrame, keys: list[str], vocab: dict[str, int], max_leng
     src = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__t"), F.col(spans).cast(span_type).alias("__s"))
     src = src.withColumn("__w", word_spans(F.col("__t"))).withColumn("__l", bioes_labels(F.col("__w"), F.col("__s")))
 
-    @F.pandas_udf("struct<input_ids: array<int>, attention_mask: array<int>, labels: array<int>>")
-    def encode(t: pd.Series, a: pd.Series, b: pd.Series, labels: pd.Series) -> pd.DataFrame:
-        rows = [encode_words(*r, vocab, max_length) for r in zip(t, a, b, labels, strict=True)]
-        return pd.DataFrame(rows, columns=["input_ids", "attention_mask", "labels"])
+    kept = src.select(*keys, F.col("__t"), F.col("__w")["start_pos"].alias("__a"), F.col("__w")["end_pos"].alias("__b"), F.col("__l"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[: len(keys)]) + ", input_ids array<int>, attention_mask array<int>, labels array<int>"
 
-    e = encode("__t", F.transform("__w", lambda w: w["start_pos"]), F.transform("__w", lambda w: w["end_pos"]), "__l")
-    return src.select(*keys, e.alias("e")).select(*keys, "e.*")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [encode_words(*r, vocab, max_length) for r in zip(b["__t"], b["__a"], b["__b"], b["__l"], strict=True)]
+            made = pd.DataFrame(rows, columns=["input_ids", "attention_mask", "labels"], index=b.index)
+            yield pd.concat([b[keys], made], axis=1)
+
+    return kept.mapInPandas(run, schema)
 
 
 def ner_words(df: DataFrame, keys: list[str]) -> DataFrame:

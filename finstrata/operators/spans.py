@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import METRICS
@@ -24,35 +28,53 @@ PATTERNS = (
 SPAN = "array<struct<text:string,label:string,start_pos:int,end_pos:int>>"
 
 
-def _labelled(found: Column, label: str) -> Column:
-    return F.transform(found, lambda x: F.struct(x["text"], F.lit(label).alias("label"), x["start_pos"], x["end_pos"]))
+def _python(pattern: str) -> re.Pattern:
+    """A pattern of this module for CPython, whose classes are Unicode but spelt otherwise."""
+    p = pattern.replace(f"[{WORD}]", r"\w").replace(NOT_AFTER_WORD, r"(?<!\w)").replace(NOT_BEFORE_WORD, r"(?!\w)").replace(f"[{SPACE}]", r"\s")
+    return re.compile(p.replace(r"\p{Nd}", r"\d").replace(r"\x{a0}", "\u00a0").replace("(?iu:", "(?i:"))
+
 
+_PHRASES = [(p, re.compile(rf"(?<!\w){re.escape(p)}(?!\w)", re.I)) for p in METRIC_PHRASES]
+_COMPILED = [(label, _python(p)) for label, p in PATTERNS]
 
-def candidates(text: Column) -> Column:
-    """All matches of all patterns, in order of priority.  A phrase is scanned for only where the text contains it."""
-    low = F.lower(text)
-    empty = F.array().cast(SPAN)
-    parts = [
-        F.when(low.contains(p), _labelled(positions(text, f"(?iu:{NOT_AFTER_WORD}{p}{NOT_BEFORE_WORD})"), "metric")).otherwise(empty)
-        for p in METRIC_PHRASES
-    ]
-    return F.concat(*parts, *[_labelled(positions(text, p), label) for label, p in PATTERNS])
 
+def spans_of(text: str) -> list[tuple[str, str, int, int]]:
+    """(text, label, start, end) of one text, sorted by start and length.
+
+    The patterns go by priority, metrics from the longest on; a match that overlaps one taken before is dropped.
+    """
+    taken = bytearray(len(text))
+    out = []
 
-def pack_spans(spans: Column) -> Column:
-    """The spans that overlap none kept before them, sorted by start and length."""
-    kept = F.aggregate(spans, F.array().cast(SPAN), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start_pos"] < y["end_pos"]) & (x["end_pos"] > y["start_pos"])), acc).otherwise(F.concat(acc, F.array(x))))
-    keyed = F.array_sort(F.transform(kept, lambda x: F.struct(x["start_pos"].alias("s"), (x["end_pos"] - x["start_pos"]).alias("n"), x.alias("x"))))
-    return F.transform(keyed, lambda k: k["x"])
+    def scan(label: str, pattern: re.Pattern) -> None:
+        found = [m.span() for m in pattern.finditer(text)]
+        for a, b in found:
+            if not any(taken[a:b]):
+                taken[a:b] = b"\x01" * (b - a)
+                out.append((a, b - a, label))
+
+    low = text.lower()
+    for phrase, pattern in _PHRASES:
+        if phrase in low:
+            scan("metric", pattern)
+    for label, pattern in _COMPILED:
+        scan(label, pattern)
+    return [(text[a : a + n], label, a, a + n) for a, n, label in sorted(out, key=lambda x: x[:2])]
 
 
 def annotate(df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
     """``df`` with the rule-based spans of ``text`` in ``to``; null texts have null spans, empty ones none.
 
-    It reads text as written: in normalised text dates are no longer periods.  The candidates are materialised in one
-    projection before they are folded.
+    It reads text as written: in normalised text dates are no longer periods.  One Arrow pass: the eight patterns and
+    nineteen phrases with their offsets take far longer as column expressions.
     """
-    return df.withColumn("__cand", candidates(F.col(text))).withColumn(to, pack_spans(F.col("__cand"))).drop("__cand")
+
+    @F.pandas_udf(SPAN)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else [dict(zip(("text", "label", "start_pos", "end_pos"), x, strict=True)) for x in spans_of(t)] for t in s], dtype=object)
+
+    return df.withColumn(to, run(F.col(text)))
 
 
 def pattern_spans(df: DataFrame, keys: list[str], label: str, text: str = "text") -> DataFrame:
