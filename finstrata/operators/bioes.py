@@ -93,9 +93,11 @@ def _mapped(df: DataFrame, keys: list[str], inputs: list[Column], made: str, kin
     src = df.select(*keys, *[c.alias(f"__{i}") for i, c in enumerate(inputs)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keys)]) + f", `{made}` {kind}"
 
+    n = len(inputs)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            columns = [b[f"__{i}"] for i in range(len(inputs))]
+            columns = [b[f"__{i}"] for i in range(n)]
             out = [[] if any(x is None for x in r) else one(*r) for r in zip(*columns, strict=True)]
             yield b[keys].assign(**{made: pd.Series(out, dtype=object, index=b.index)})
 
