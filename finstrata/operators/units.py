@@ -239,14 +239,14 @@ def to_common_units(df: DataFrame, fx: DataFrame, *, value="value", unit="unit",
     q = src.withColumn("quantity", quantity_column(*(F.col(c).cast("string") for c in (value, unit, currency, context, metric)), ratio_metrics=ratio_metrics))
     q = q.withColumn("__alias", F.col("quantity.unit_alias")).withColumn("__dim", F.col("quantity.dimension"))
     q = q.withColumn("__code", F.when(F.col("__dim") == "money", F.coalesce(F.col("quantity.currency_code"), F.lit("RUB"))))
-    factors = factor_table(spark)
-    rates = fx.groupBy(F.col("currency_code").alias("q_code")).agg(F.max("rub_per_unit").alias("q_rate"))
-    out = q.join(F.broadcast(factors), (F.col("__alias") == F.col("q_alias")) & (F.col("__dim") == F.col("q_dimension")), "left")
-    out = out.join(broadcast_if_small(rates), F.col("__code") == F.col("q_code"), "left")
-    scaled = F.col("quantity.number") * F.coalesce(F.col("q_factor"), F.lit(1.0))
+    factors = factor_table(spark).withColumnsRenamed({c: f"__{c}" for c in ("q_alias", "q_dimension", "q_factor")})
+    rates = fx.groupBy(F.col("currency_code").alias("__q_code")).agg(F.max("rub_per_unit").alias("__q_rate"))
+    out = q.join(F.broadcast(factors), (F.col("__alias") == F.col("__q_alias")) & (F.col("__dim") == F.col("__q_dimension")), "left")
+    out = out.join(broadcast_if_small(rates), F.col("__code") == F.col("__q_code"), "left")
+    scaled = F.col("quantity.number") * F.coalesce(F.col("__q_factor"), F.lit(1.0))
     return out.select(
         *[F.col(f"`{c}`") for c in src.columns],
-        F.when(F.col("__dim") == "ratio", scaled).otherwise(scaled * F.col("q_rate")).alias("amount"),
+        F.when(F.col("__dim") == "ratio", scaled).otherwise(scaled * F.col("__q_rate")).alias("amount"),
         F.when(F.col("__dim") == "ratio", "ratio").otherwise("RUB").alias("amount_unit"),
         "quantity",
     )
