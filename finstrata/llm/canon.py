@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Letters of three scripts that have the same shape.
 _LATIN = "ABCEHIJKMOPSTXYaceijopsxy"
 _CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕху"
@@ -135,6 +137,10 @@ def canonical(text: str | None) -> str | None:
             if not unicodedata.is_normalized("NFC", text):  # parts brought together by what was removed between them
                 text = unicodedata.normalize("NFC", text)
         text = _settle(text)
+        for _ in range(3):  # a settled letter may compose with the mark after it
+            if unicodedata.is_normalized("NFC", text):
+                break
+            text = _settle(unicodedata.normalize("NFC", text))
     return _BLANKS.sub(lambda m: "\n" * m[0].count("\n") or " ", text).strip(" ")
 
 

@@ -147,12 +147,13 @@ def _gram_counts(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
-    """(gram, id, train, eval, n, w2, need, left): the inverted-list entries of every distinct text.
+    """(gram, id, train, eval, n, w2, need, left, least): the inverted-list entries of every distinct text.
 
-    ``need`` is the squared weight that a partner must share, ``left`` the part of it outside the entered grams.
+    ``need`` is the squared weight that a partner must share, ``left`` the weight outside the entered grams, ``least``
+    that of the lightest entered one.
     """
     sent = classes.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
-    schema = "gram long, id long, train boolean, eval boolean, n int, w2 float, need float, left float"
+    schema = "gram long, id long, train boolean, eval boolean, n int, w2 float, need float, left float, least float"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
@@ -174,10 +175,12 @@ def _postings(classes: DataFrame, counts: np.ndarray, share: float) -> DataFrame
                 need = mass - lost
                 entered = rank <= lose[doc]  # then the residual norm is below need
                 kept = np.bincount(doc, w2 * entered, minlength=len(n))
+                least = np.full(len(n), np.inf)
+                np.minimum.at(least, doc[entered], w2[entered])
                 d = doc[entered]
                 if len(d):
-                    cols = [g[entered].view(np.int64), ids[d], train[d], evals[d], n[d].astype(np.int32), w2[entered].astype(np.float32), need[d].astype(np.float32), (mass - kept)[d].astype(np.float32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "id", "train", "eval", "n", "w2", "need", "left"])
+                    cols = [g[entered].view(np.int64), ids[d], train[d], evals[d], n[d].astype(np.int32), w2[entered].astype(np.float32), need[d].astype(np.float32), (mass - kept)[d].astype(np.float32), least[d].astype(np.float32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "id", "train", "eval", "n", "w2", "need", "left", "least"])
 
     return classes.select("id", "train", "eval", "norm").mapInArrow(run, schema)
 
@@ -219,12 +222,16 @@ def cross_split_overlaps(df: DataFrame, key: str = "chunk_key", text: str = "tex
     classes = cut(classes.withColumn("id", F.xxhash64("cid")))
     counts = _gram_counts(classes)
     post = _postings(classes, counts, share)
-    a = post.where("train").select("gram", F.col("id").alias("id_a"), F.col("n").alias("n_a"), "w2", F.col("need").alias("need_a"), F.col("left").alias("left_a"))
-    b = post.where("eval").select("gram", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("left").alias("left_b"))
+    a = post.where("train").select("gram", F.col("id").alias("id_a"), F.col("n").alias("n_a"), "w2", F.col("need").alias("need_a"), F.col("left").alias("left_a"), F.col("least").alias("least_a"))
+    b = post.where("eval").select("gram", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("left").alias("left_b"), F.col("least").alias("least_b"))
     longer = F.greatest("n_a", "n_b")
     met = a.join(b, "gram").where((F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(longer * share + _EPS)) & (F.col("id_a") != F.col("id_b")))
-    sums = met.groupBy("id_a", "id_b").agg(F.sum("w2").alias("dot"), F.first("need_a").alias("na"), F.first("need_b").alias("nb"), F.first("left_a").alias("la"), F.first("left_b").alias("lb"))
-    near = sums.where(F.col("dot") + F.least("la", "lb") >= F.greatest("na", "nb") * (1 - 1e-5)).select("id_a", "id_b")
+    # Common grams that didn't meet come, in the order of weights, after the entered ones of the text whose list ends first.
+    ends = F.col("least_a") - F.col("least_b")
+    rest = F.when(ends > 1e-5, F.col("left_a")).when(ends < -1e-5, F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
+    met = met.select("id_a", "id_b", "w2", (F.greatest("need_a", "need_b") * (1 - 1e-5) - rest).alias("least_dot"))
+    sums = met.groupBy("id_a", "id_b").agg(F.sum("w2").alias("dot"), F.first("least_dot").alias("least_dot"))
+    near = sums.where("dot >= least_dot").select("id_a", "id_b")
     texts = classes.select("id", "cid", "norm")
     near = near.join(texts.toDF("id_a", "cid_a", "norm_a"), "id_a").join(texts.toDF("id_b", "cid_b", "norm_b"), "id_b")
     found = _verify(near, counts, share)

@@ -89,10 +89,14 @@ def split_oversized(df: DataFrame, text: str = "text", max_words: int = 128, ove
     added = ["piece_no", "n_pieces", "piece_start", "piece_end"]
     base = df.drop(*added)
 
-    @F.pandas_udf("array<struct<piece: string, piece_start: int, piece_end: int>>")
+    def pieces(t: str) -> list[tuple[str, int, int, int]]:
+        found = split_text(t, max_words, overlap, max_chars)
+        return [(t[a:b], a, b, len(found)) for a, b in found]
+
+    @F.pandas_udf("array<struct<piece: string, piece_start: int, piece_end: int, n: int>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([[(t[a:b], a, b) for a, b in split_text(t, max_words, overlap, max_chars)] for t in s], dtype=object)
+            yield pd.Series([pieces(t) for t in s], dtype=object)
 
     # A text of n words has at least 2n-1 characters; only the rest is counted, and only what is over goes to Python.
     t = F.col(text)
@@ -105,6 +109,6 @@ def split_oversized(df: DataFrame, text: str = "text", max_words: int = 128, ove
         F.when(F.length(t) > 0, 0).cast("int").alias("piece_start"), F.when(F.length(t) > 0, F.length(t)).cast("int").alias("piece_end"),
     )
     parts = marked.where("__over").withColumn("__parts", cut(t))
-    parts = parts.select(*[F.col(f"`{c}`") for c in base.columns], F.size("__parts").alias("n_pieces"), F.posexplode("__parts").alias("piece_no", "__p"))
-    parts = parts.select(*[F.col("__p.piece").alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "piece_no", "n_pieces", "__p.piece_start", "__p.piece_end")
+    parts = parts.select(*[F.col(f"`{c}`") for c in base.columns if c != text], F.posexplode("__parts").alias("piece_no", "__p"))
+    parts = parts.select(*[F.col("__p.piece").alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "piece_no", F.col("__p.n").alias("n_pieces"), "__p.piece_start", "__p.piece_end")
     return whole.unionByName(parts)
