@@ -74,19 +74,28 @@ def risk_metrics(df: DataFrame, k: int = 3, bins: int = 10, true: str = "true_id
     return out
 
 
-def entities(df: DataFrame, seq: list[str], idx: str, label: str) -> DataFrame:
-    """``seq``, entity, first, last: the entities of label sequences by the lenient chunk rules, BIOES and BIO alike.
+def _entity_starts(label: str, name: str, w) -> dict[str, Column]:
+    """Columns ``<name>_t``, ``<name>_y`` (edge and kind) and ``<name>_n``, the number of the entity, over a sequence's window."""
+    tag, kind = F.substring(F.col(label), 1, 1), F.regexp_replace(F.col(label), "^[^-]*-?", "")
+    before, before_kind = F.coalesce(F.lag(tag).over(w), F.lit("O")), F.coalesce(F.lag(kind).over(w), F.lit(""))
+    begins = tag.isin("B", "S") | (before.isin("E", "S", "O") & tag.isin("I", "E")) | ((tag != "O") & (before_kind != kind))
+    return {f"{name}_t": tag, f"{name}_y": kind, f"{name}_b": begins.cast("int")}
+
 
-    A window per sequence; a change of type begins and ends entities, as do B, S and E and the border of O.
+def entities(df: DataFrame, seq: list[str], idx: str, labels: dict[str, str]) -> DataFrame:
+    """``seq``, which, entity, first, last: the entities of the label columns ``labels`` (name to column), by the lenient chunk rules.
+
+    A change of kind begins and ends entities, as do B, S and E and the border of O; BIOES and BIO alike.  All label
+    columns share one window over the sequences, whose partitioning the grouping then keeps.
     """
-    w = W.partitionBy(*seq).orderBy(idx)
-    tag, kind = F.substring(F.col(label), 1, 1), F.regexp_replace(F.col(label), "^[^-]*-?", "")
-    d = df.select(*seq, F.col(idx).alias("__i"), tag.alias("t"), kind.alias("y"))
+    d = df.select(*seq, F.col(idx).alias("__i"), *[F.col(c).alias(f"__{k}") for k, c in labels.items()])
     w = W.partitionBy(*seq).orderBy("__i")
-    d = d.withColumn("pt", F.coalesce(F.lag("t").over(w), F.lit("O"))).withColumn("py", F.coalesce(F.lag("y").over(w), F.lit("")))
-    begins = F.col("t").isin("B", "S") | (F.col("pt").isin("E", "S", "O") & F.col("t").isin("I", "E")) | ((F.col("t") != "O") & (F.col("py") != F.col("y")))
-    d = d.withColumn("__n", F.sum(begins.cast("int")).over(w)).where("t <> 'O'")
-    return d.groupBy(*seq, "__n").agg(F.min_by("y", "__i").alias("entity"), F.min("__i").alias("first"), F.max("__i").alias("last")).drop("__n")
+    for k in labels:
+        d = d.withColumns(_entity_starts(f"__{k}", f"__{k}", w))
+    d = d.withColumns({f"__{k}_n": F.sum(f"__{k}_b").over(w) for k in labels})
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(f"__{k}_t").alias("t"), F.col(f"__{k}_y").alias("y"), F.col(f"__{k}_n").alias("n")) for k in labels]))
+    rows = d.select(*seq, "__i", each.alias("e")).where("e.t <> 'O'").select(*seq, "__i", "e.which", "e.y", "e.n")
+    return rows.groupBy(*seq, "which", "n").agg(F.min_by("y", "__i").alias("entity"), F.min("__i").alias("first"), F.max("__i").alias("last")).drop("n")
 
 
 def entity_report(df: DataFrame, seq: list[str], idx: str = "word_idx", gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -95,10 +104,9 @@ def entity_report(df: DataFrame, seq: list[str], idx: str = "word_idx", gold: st
     Rows with a null gold label are ignored positions and left out first.  Entities match by sequence, kind and bounds.
     """
     kept = df.where(F.col(gold).isNotNull())
-    g = entities(kept, seq, idx, gold).withColumn("g", F.lit(1))
-    p = entities(kept, seq, idx, pred).withColumn("p", F.lit(1))
-    both = g.join(p, [*seq, "entity", "first", "last"], "full")
-    per = both.groupBy("entity").agg(F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("tp"), F.count("p").alias("np"), F.count("g").alias("support"))
+    found = entities(kept, seq, idx, {"gold": gold, "pred": pred})
+    both = found.groupBy(*seq, "entity", "first", "last").agg(F.max((F.col("which") == "gold").cast("int")).alias("g"), F.max((F.col("which") == "pred").cast("int")).alias("p"))
+    per = both.groupBy("entity").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("support"))
     pr, rc = _ratio(F.col("tp"), F.col("np")), _ratio(F.col("tp"), F.col("support"))
     scored = per.withColumn("precision", pr).withColumn("recall", rc).withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     cols = ["entity", "precision", "recall", "f1", "support"]

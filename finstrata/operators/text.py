@@ -49,20 +49,22 @@ def unify_dashes(c: Column) -> Column:
     return F.translate(c, "—–−‑", "----")
 
 
+def _marked(c: Column, pattern: str, letters: dict[str, str]) -> Column:
+    """One expression finds and marks the letters, plain replacements then change the marked ones (mark: U+E002)."""
+    out = F.regexp_replace(c, pattern, "\ue002$1")
+    for latin, cyrillic in letters.items():
+        out = F.replace(out, F.lit("\ue002" + latin), F.lit(cyrillic))
+    return out
+
+
 def fix_embedded_lookalikes(c: Column) -> Column:
     """A single small Latin look-alike between small Cyrillic letters becomes Cyrillic; runs of Latin letters stay."""
-    out = c
-    for latin, cyrillic in LOOKALIKES.items():
-        out = F.regexp_replace(out, f"(?<=[а-яё]){latin}(?=[а-яё])", cyrillic)
-    return F.when(c.rlike("[а-яё][%s][а-яё]" % "".join(LOOKALIKES)), out).otherwise(c)
+    return _marked(c, "(?<=[а-яё])([%s])(?=[а-яё])" % "".join(LOOKALIKES), LOOKALIKES)
 
 
 def fix_initial_lookalikes(c: Column) -> Column:
     """Latin c and o at the beginning of a word that goes on in two Cyrillic letters become Cyrillic."""
-    out = c
-    for latin, cyrillic in (("c", "с"), ("o", "о"), ("C", "С"), ("O", "О")):
-        out = F.regexp_replace(out, f"{NOT_AFTER_WORD}{latin}(?=[{CYRILLIC}]{{2}})", cyrillic)
-    return out
+    return _marked(c, f"{NOT_AFTER_WORD}([coCO])(?=[{CYRILLIC}]{{2}})", {"c": "с", "o": "о", "C": "С", "O": "О"})
 
 
 def join_digit_groups(c: Column) -> Column:
