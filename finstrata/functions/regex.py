@@ -5,6 +5,8 @@ r"""Regular expressions with Unicode meaning, the same in every dialect.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once a row however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def positions(c: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<text, start_pos, end_pos>> of the non-overlapping matches, half-open, in code points.
 

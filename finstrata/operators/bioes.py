@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, OUTSIDE, RISKS
+from ..functions.regex import once
 from ..schemas import SPANS
 from .lemma import word_spans
 
@@ -27,22 +28,28 @@ def bioes_labels(words: Column, spans: Column) -> Column:
     null entries cover nothing.
     """
 
-    def label(w: Column, i: Column) -> Column:
-        def over(acc: Column, s: Column) -> Column:
-            before = F.coalesce(_covered(F.get(words, i - 1), s), F.lit(False))
-            after = F.coalesce(_covered(F.get(words, i + 1), s), F.lit(False))
-            edge = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
-            return F.when(_covered(w, s), F.concat_ws("-", edge, s["label"])).otherwise(acc)
+    known = F.coalesce(spans, F.array().cast(SPANS))
 
-        return F.aggregate(F.coalesce(spans, F.array().cast(SPANS)), F.lit(OUTSIDE), over)
+    def labelled(ws: Column) -> Column:
+        def label(w: Column, i: Column) -> Column:
+            def over(acc: Column, s: Column) -> Column:
+                before = F.coalesce(_covered(F.get(ws, i - 1), s), F.lit(False))
+                after = F.coalesce(_covered(F.get(ws, i + 1), s), F.lit(False))
+                edge = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
+                return F.when(_covered(w, s), F.concat_ws("-", edge, s["label"])).otherwise(acc)
 
-    return F.transform(words, label)
+            return F.aggregate(known, F.lit(OUTSIDE), over)
+
+        return F.transform(ws, label)
+
+    return once(words, labelled)
 
 
 def label_words(df: DataFrame, keys: list[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """``keys``, word_idx (from 0), word, start_pos, end_pos, label."""
-    src = df.select(*keys, F.col(spans).cast(SPANS).alias("__spans"), word_spans(F.col(text)).alias("__words"))
-    labelled = src.select(*keys, F.posexplode(F.arrays_zip(F.col("__words").alias("w"), bioes_labels(F.col("__words"), F.col("__spans")).alias("label"))).alias("word_idx", "x"))
+    src = df.select(*keys, F.col(spans).cast(SPANS).alias("__spans"), F.col(text).alias("__text"))
+    zipped = once(word_spans(F.col("__text")), lambda ws: F.arrays_zip(ws.alias("w"), bioes_labels(ws, F.col("__spans")).alias("label")))
+    labelled = src.select(*keys, F.posexplode(zipped).alias("word_idx", "x"))
     return labelled.select(*keys, "word_idx", F.col("x.w.text").alias("word"), F.col("x.w.start_pos").alias("start_pos"), F.col("x.w.end_pos").alias("end_pos"), F.col("x.label").alias("label"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.regex import strip, words
+from ..functions.regex import once, strip, words
 
 
 def overlap_words(max_words: int, ratio: float) -> int:
@@ -19,14 +19,17 @@ def slices(text: Column, max_words: int, overlap: int) -> Column:
     step = max_words - overlap
     if step <= 0:
         raise ValueError("the limit must exceed the overlap")
-    ws = words(text)
     back = min(overlap, step)
-    cut = F.transform(
-        F.sequence(F.lit(0), F.size(ws) - 1, F.lit(step)),
-        lambda i: F.slice(ws, F.greatest(i - back, F.lit(0)) + 1, i + step - F.greatest(i - back, F.lit(0))),
-    )
-    many = F.transform(cut, lambda w: F.struct(F.array_join(w, " ").alias("piece"), F.size(w).alias("n")))
-    return F.when(F.size(ws) <= max_words, F.array(F.struct(text.alias("piece"), F.size(ws).alias("n")))).otherwise(many)
+
+    def run(ws: Column, i: Column) -> Column:
+        first = F.greatest(i - back, F.lit(0))
+        return F.slice(ws, first + 1, i + step - first)
+
+    def cut(ws: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 1, F.lit(0)), F.lit(step)), lambda i: once(run(ws, i), lambda w: F.struct(F.array_join(w, " ").alias("piece"), F.size(w).alias("n"))))
+        return F.when(F.size(ws) <= max_words, F.array(F.struct(text.alias("piece"), F.size(ws).alias("n")))).otherwise(many)
+
+    return once(words(text), cut)
 
 
 def slice_sections(df: DataFrame, max_words: int = 150, overlap_ratio: float = 0.05) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import IGNORED_ID
+from ..session import cut
 
 
 def _classes(df: DataFrame, k: int, name: str) -> DataFrame:
@@ -18,8 +19,11 @@ def _classes(df: DataFrame, k: int, name: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, k: int, true: str = "true_id", pred: str = "pred_id") -> DataFrame:
     """(true_id, pred_id, n) for all k x k pairs, absent ones with 0.  The grid is k x k, whatever the data."""
-    counts = df.groupBy(F.col(true).alias("true_id"), F.col(pred).alias("pred_id")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("true_id"), (F.col("id") % k).cast("int").alias("pred_id"))
+    return _full_grid(df.groupBy(F.col(true).alias("true_id"), F.col(pred).alias("pred_id")).agg(F.count("*").alias("n")), k)
+
+
+def _full_grid(counts: DataFrame, k: int) -> DataFrame:
+    grid = counts.sparkSession.range(k * k).select((F.col("id") / k).cast("int").alias("true_id"), (F.col("id") % k).cast("int").alias("pred_id"))
     return grid.join(counts, ["true_id", "pred_id"], "left").select("true_id", "pred_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -42,10 +46,15 @@ def macro_f1(df: DataFrame, k: int, true: str = "true_id", pred: str = "pred_id"
     return s.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
 
 
+def _squares(true: Column, probs: Column) -> Column:
+    """The squared distance of ``probs`` to the unit vector of the true class."""
+    parts = F.transform(probs, lambda p, i: F.pow(p - (i == true).cast("double"), F.lit(2.0)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+
+
 def brier_score(df: DataFrame, true: str = "true_id", probs: str = "probs") -> DataFrame:
     """(brier): the mean over examples of the squared distances to the true class's unit vector; 0 for no examples."""
-    one = F.aggregate(F.transform(F.col(probs), lambda p, i: (p - F.when(i == F.col(true), 1.0).otherwise(0.0)) * (p - F.when(i == F.col(true), 1.0).otherwise(0.0))), F.lit(0.0), lambda a, x: a + x)
-    return df.agg(F.coalesce(F.avg(one), F.lit(0.0)).alias("brier"))
+    return df.agg(F.coalesce(F.avg(_squares(F.col(true), F.col(probs))), F.lit(0.0)).alias("brier"))
 
 
 def argmax(probs: Column) -> Column:
@@ -62,16 +71,26 @@ def calibration_error(df: DataFrame, bins: int = 10, true: str = "true_id", prob
 
 
 def risk_metrics(df: DataFrame, k: int = 3, bins: int = 10, true: str = "true_id", probs: str = "probs") -> DataFrame:
-    """One row: n, accuracy, macro scores, brier, ece, and the confusion matrix as a list of rows."""
-    scored = df.withColumn("pred_id", argmax(F.col(probs)))
-    totals = scored.agg(F.count("*").alias("n"), F.coalesce(F.avg((F.col("pred_id") == F.col(true)).cast("double")), F.lit(0.0)).alias("accuracy"))
-    grid = confusion_matrix(scored, k, true)
-    rows = grid.groupBy("true_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pred_id", "n"))), lambda x: x["n"]).alias("r"))
-    table = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("true_id", "r"))), lambda x: x["r"]).alias("confusion"))
-    out = totals
-    for part in (macro_f1(scored, k, true), brier_score(df, true, probs), calibration_error(df, bins, true, probs), table):
+    """One row: n, accuracy, macro scores, brier, ece, and the confusion matrix as a list of rows.
+
+    One pass sums the examples up by true class, predicted class and confidence bin; all figures come from these sums.
+    """
+    p = F.col(probs)
+    conf = F.array_max(p).cast("double")
+    rows = df.select(F.col(true).cast("int").alias("true_id"), argmax(p).alias("pred_id"), F.least(F.floor(conf * bins), F.lit(bins - 1)).alias("bin"), conf.alias("c"), _squares(F.col(true), p).alias("b"))
+    sums = cut(rows.groupBy("true_id", "pred_id", "bin").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("b").alias("b")))
+    hits = F.sum(F.when(F.col("true_id") == F.col("pred_id"), F.col("n")).otherwise(0))
+    out = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(hits / F.sum("n"), F.lit(0.0)).alias("accuracy"), F.coalesce(F.sum("b") / F.sum("n"), F.lit(0.0)).alias("brier"))
+    per_bin = sums.groupBy("bin").agg(F.sum("n").alias("n"), F.abs(hits - F.sum("c")).alias("off"))
+    ece = per_bin.agg(F.coalesce(F.sum("off") / F.sum("n"), F.lit(0.0)).alias("ece"))
+    counts = sums.groupBy("true_id", "pred_id").agg(F.sum("n").alias("n"))
+    grid = _full_grid(counts, k)
+    scores = class_scores(grid).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    lines = grid.groupBy("true_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pred_id", "n"))), lambda x: x["n"]).alias("r"))
+    table = lines.agg(F.transform(F.array_sort(F.collect_list(F.struct("true_id", "r"))), lambda x: x["r"]).alias("confusion"))
+    for part in (ece, scores, table):
         out = out.join(part)  # each is one row
-    return out
+    return out.select("n", "accuracy", "macro_precision", "macro_recall", "macro_f1", "brier", "ece", "confusion")
 
 
 def _entity_starts(label: str, name: str, w) -> dict[str, Column]:
@@ -107,6 +126,7 @@ def entity_report(df: DataFrame, seq: list[str], idx: str = "word_idx", gold: st
     found = entities(kept, seq, idx, {"gold": gold, "pred": pred})
     both = found.groupBy(*seq, "entity", "first", "last").agg(F.max((F.col("which") == "gold").cast("int")).alias("g"), F.max((F.col("which") == "pred").cast("int")).alias("p"))
     per = both.groupBy("entity").agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("support"))
+    per = cut(per)  # one row per kind of entity, read four times below
     pr, rc = _ratio(F.col("tp"), F.col("np")), _ratio(F.col("tp"), F.col("support"))
     scored = per.withColumn("precision", pr).withColumn("recall", rc).withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     cols = ["entity", "precision", "recall", "f1", "support"]

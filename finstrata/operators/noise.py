@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NOISE_PATTERNS
 from ..functions.regex import SPACE
+from ..session import cut
 from .text import nfkc, normalize_composed, rows_to_text
 
 
@@ -51,8 +52,8 @@ def drop_repeating(df: DataFrame, ratio: float = 0.7) -> DataFrame:
 
 
 def remove_noise(df: DataFrame, patterns: tuple[str, ...] = (), ratio: float = 0.7, header: float = 0.05, footer: float = 0.95) -> DataFrame:
-    """All four filters in their order."""
-    return drop_repeating(drop_patterns(drop_headers_footers(drop_by_geometry(df, header, footer)), patterns), ratio)
+    """All four filters in their order.  The survivors of the first three are written once, as the last reads them three times."""
+    return drop_repeating(cut(drop_patterns(drop_headers_footers(drop_by_geometry(df, header, footer)), patterns)), ratio)
 
 
 def normalize_sections(df: DataFrame, composed: bool = False) -> DataFrame:

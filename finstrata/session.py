@@ -21,6 +21,7 @@ def local_session(name: str = "finstrata", cpus: int | str = "*", partitions: in
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FINSTRATA_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -29,9 +30,25 @@ def local_session(name: str = "finstrata", cpus: int | str = "*", partitions: in
     )
 
 
+#: Tables of fewer estimated bytes are not spread.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with fewer splits than the cluster has cores, dealt out to all of them; others as they are.
+
+    The operators here spend far more on a row than a shuffle of it costs.  Filters and column choices still reach the
+    scan.  A large table has more splits than cores, so nothing is shuffled there.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(scan) < SPREAD_BYTES or scan._jdf.rdd().getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table ``name`` of ``sf_dir``, spread over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
