@@ -147,13 +147,13 @@ def _gram_counts(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
-    """(gram, id, train, eval, n, w2, need, left, least): the inverted-list entries of every distinct text.
+    """(gram, id, train, eval, n, w2, need, left, last_count, last_gram): the inverted-list entries of every distinct text.
 
-    ``need`` is the squared weight that a partner must share, ``left`` the weight outside the entered grams, ``least``
-    that of the lightest entered one.
+    ``need`` is the squared weight that a partner must share, ``left`` the weight outside the entered grams; the last of
+    these, in the order of all grams by count and id, is (``last_count``, ``last_gram``).
     """
     sent = classes.sparkSession.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 2**31 else counts)
-    schema = "gram long, id long, train boolean, eval boolean, n int, w2 float, need float, left float, least float"
+    schema = "gram long, id long, train boolean, eval boolean, n int, w2 float, need float, left float, last_count int, last_gram long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
@@ -163,9 +163,10 @@ def _postings(classes: DataFrame, counts: np.ndarray, share: float) -> DataFrame
                 b = batch.slice(at, 2000)
                 ids, train, evals = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
                 doc, g, n = grams.of(b.column(3).to_pylist())
-                w2 = squared_weights(sent.value[_cells(g)], total)
-                order = np.lexsort((g, -w2, doc))
-                doc, g, w2 = doc[order], g[order], w2[order]
+                count = sent.value[_cells(g)]
+                order = np.lexsort((g, count, doc))  # the heaviest first
+                doc, g, count = doc[order], g[order], count[order]
+                w2 = squared_weights(count, total)
                 size = np.bincount(doc, minlength=len(n))
                 first = np.cumsum(size) - size
                 rank = np.arange(len(doc)) - first[doc]
@@ -175,12 +176,11 @@ def _postings(classes: DataFrame, counts: np.ndarray, share: float) -> DataFrame
                 need = mass - lost
                 entered = rank <= lose[doc]  # then the residual norm is below need
                 kept = np.bincount(doc, w2 * entered, minlength=len(n))
-                least = np.full(len(n), np.inf)
-                np.minimum.at(least, doc[entered], w2[entered])
+                last = np.clip(first + np.minimum(size, lose + 1) - 1, 0, max(len(g) - 1, 0))
                 d = doc[entered]
                 if len(d):
-                    cols = [g[entered].view(np.int64), ids[d], train[d], evals[d], n[d].astype(np.int32), w2[entered].astype(np.float32), need[d].astype(np.float32), (mass - kept)[d].astype(np.float32), least[d].astype(np.float32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "id", "train", "eval", "n", "w2", "need", "left", "least"])
+                    cols = [g[entered].view(np.int64), ids[d], train[d], evals[d], n[d].astype(np.int32), w2[entered].astype(np.float32), need[d].astype(np.float32), (mass - kept)[d].astype(np.float32), count[last[d]].astype(np.int32), (g[last[d]] ^ np.uint64(1 << 63)).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["gram", "id", "train", "eval", "n", "w2", "need", "left", "last_count", "last_gram"])
 
     return classes.select("id", "train", "eval", "norm").mapInArrow(run, schema)
 
@@ -195,16 +195,21 @@ def _verify(pairs: DataFrame, counts: np.ndarray, share: float) -> DataFrame:
         for b in batches:
             out = []
             for ca, na, cb, nb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                doc, g, n = grams.of([na, nb])
-                w2 = squared_weights(sent.value[_cells(g)], total)
-                x, y = g[doc == 0], g[doc == 1]
-                dot = float(w2[doc == 0][np.isin(x, y)].sum())
-                norms = float(w2[doc == 0].sum()) * float(w2[doc == 1].sum())
-                edits = aligned(na.split(" "), nb.split(" "), edits_allowed(int(n.max()), share))
+                wa, wb = na.split(" "), nb.split(" ")
+                edits = aligned(wa, wb, edits_allowed(max(len(wa), len(wb)), share))
                 if edits is not None:
+                    doc, g, _ = grams.of([na, nb])
+                    w2 = squared_weights(sent.value[_cells(g)], total)
+                    dot = float(w2[doc == 0][np.isin(g[doc == 0], g[doc == 1])].sum())
+                    norms = float(w2[doc == 0].sum()) * float(w2[doc == 1].sum())
                     out.append((ca, cb, dot / norms**0.5 if norms else 0.0, edits))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.float64(), pa.int32()))], names=["cid_a", "cid_b", "cosine", "edits"])
 
+    # An edit takes at most one distinct word from either text: most pairs fail this and never leave the JVM.
+    a, b = F.split("norm_a", " "), F.split("norm_b", " ")
+    most = F.floor(F.greatest(F.size(a), F.size(b)) * share + _EPS)
+    shared = F.size(F.array_intersect(a, b))
+    pairs = pairs.where(shared + most >= F.greatest(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
     return pairs.select("cid_a", "norm_a", "cid_b", "norm_b").mapInArrow(run, "cid_a binary, cid_b binary, cosine double, edits int")
 
 
@@ -222,13 +227,12 @@ def cross_split_overlaps(df: DataFrame, key: str = "chunk_key", text: str = "tex
     classes = cut(classes.withColumn("id", F.xxhash64("cid")))
     counts = _gram_counts(classes)
     post = _postings(classes, counts, share)
-    a = post.where("train").select("gram", F.col("id").alias("id_a"), F.col("n").alias("n_a"), "w2", F.col("need").alias("need_a"), F.col("left").alias("left_a"), F.col("least").alias("least_a"))
-    b = post.where("eval").select("gram", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("left").alias("left_b"), F.col("least").alias("least_b"))
+    a = post.where("train").select("gram", F.col("id").alias("id_a"), F.col("n").alias("n_a"), "w2", F.col("need").alias("need_a"), F.col("left").alias("left_a"), F.struct("last_count", "last_gram").alias("last_a"))
+    b = post.where("eval").select("gram", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("need").alias("need_b"), F.col("left").alias("left_b"), F.struct("last_count", "last_gram").alias("last_b"))
     longer = F.greatest("n_a", "n_b")
     met = a.join(b, "gram").where((F.abs(F.col("n_a") - F.col("n_b")) <= F.floor(longer * share + _EPS)) & (F.col("id_a") != F.col("id_b")))
     # Common grams that didn't meet come, in the order of weights, after the entered ones of the text whose list ends first.
-    ends = F.col("least_a") - F.col("least_b")
-    rest = F.when(ends > 1e-5, F.col("left_a")).when(ends < -1e-5, F.col("left_b")).otherwise(F.greatest("left_a", "left_b"))
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("left_a")).otherwise(F.col("left_b"))
     met = met.select("id_a", "id_b", "w2", (F.greatest("need_a", "need_b") * (1 - 1e-5) - rest).alias("least_dot"))
     sums = met.groupBy("id_a", "id_b").agg(F.sum("w2").alias("dot"), F.first("least_dot").alias("least_dot"))
     near = sums.where("dot >= least_dot").select("id_a", "id_b")
