@@ -15,23 +15,24 @@ from pyspark.sql import functions as F
 
 def _parsed(text: str) -> str:
     """VARIANT of a whole JSON text, else null: framed twice, so that nothing may follow the value."""
-    return f"""if(try_parse_json(concat('[', {text}, ']')) is not null,
-        try_variant_get(try_parse_json(concat('{{"r":', {text}, '}}')), '$.r', 'variant'), null)"""
+    framed = f"""try_parse_json(concat('{{"r":', {text}, '}}'))"""
+    return f"""if(try_parse_json(concat('[', {text}, ']')) is not null, try_variant_get({framed}, '$.r', 'variant'), null)"""
 
 
 def _object(v: str) -> str:
     return f"try_variant_get({v}, '$', 'map<string,variant>') is not null"
 
 
-def _items(v: str) -> str:
-    """ARRAY<VARIANT> of a list, of an object given in place of one, or of either written as a JSON string."""
-    inner = f"try_parse_json(try_variant_get({v}, '$', 'string'))"
-    return f"""case when {v} is null then null
-        when schema_of_variant({v}) like 'ARRAY<%' then try_variant_get({v}, '$', 'array<variant>')
-        when schema_of_variant({v}) like 'OBJECT<%' then array({v})
-        when schema_of_variant({v}) = 'STRING' then coalesce(
-            try_variant_get({inner}, '$', 'array<variant>'), if({_object(inner)}, array({inner}), null))
-        end"""
+def _items(expr: str, name: str) -> str:
+    """ARRAY<VARIANT> of a list, of an object given in place of one, or of either written as a JSON string.
+
+    ``expr`` is bound to ``name``, so that it is evaluated once.
+    """
+    v, inner = name, f"{name}s"
+    return f"""transform(array({expr}), {v} -> coalesce(
+        try_variant_get({v}, '$', 'array<variant>'), if({_object(v)}, array({v}), null),
+        transform(array(try_parse_json(try_variant_get({v}, '$', 'string'))), {inner} -> coalesce(
+            try_variant_get({inner}, '$', 'array<variant>'), if({_object(inner)}, array({inner}), null)))[0]))[0]"""
 
 
 def _hash(expr: str) -> str:
@@ -66,11 +67,11 @@ def nested_records(df: DataFrame, key: str = "line_id", text: str = "raw_line")
     or as a JSON string are lists; null entries keep their positions.  Names that occur twice in an object make a
     record unreadable.  Columns of ``df`` other than ``key`` and ``text`` don't matter.
     """
-    span = f"""transform({_items("try_variant_get(c, '$.spans', 'variant')")}, s -> if({_object("s")}, named_struct(
+    span = f"""transform({_items("try_variant_get(c, '$.spans', 'variant')", "u")}, s -> if({_object("s")}, named_struct(
         'text', try_variant_get(s, '$.text', 'string'), 'label', try_variant_get(s, '$.label', 'string'),
         'start_pos', try_cast(try_variant_get(s, '$.start', 'string') as int), 'end_pos', try_cast(try_variant_get(s, '$.end', 'string') as int),
         'attrs', nullif(to_json(try_variant_get(s, '$.attrs', 'variant')), 'null')), null))"""
-    raw_chunk = f"""transform({_items("try_variant_get(r, '$.chunks', 'variant')")}, c -> if({_object("c")}, named_struct(
+    raw_chunk = f"""transform({_items("try_variant_get(r, '$.chunks', 'variant')", "w")}, c -> if({_object("c")}, named_struct(
         'chunk_id', try_cast(try_variant_get(c, '$.chunk_id', 'string') as int), 'text', try_variant_get(c, '$.text', 'string'),
         'spans', {span}), null))"""
     with_span_nodes = f"""transform(raw_chunks, c -> if(c is null, null, named_struct('chunk_id', c.chunk_id, 'text', c.text,
