@@ -2,8 +2,9 @@
 
 Running lines are the first or last lines of pages that recur, in varied form, on several pages of a document; page
 numbers are the foot lines that hold nothing but a number that counts on with the pages.  Broken words are joined, and
-misread characters found, by the vocabulary of the whole corpus: words are folded so that characters that scanners
-confuse become one, and a rare word whose fold is that of a far commoner one is a misreading of it.
+misread characters found, by the vocabulary of the whole corpus: the joined and the hyphenated form of a broken word are
+looked up in it; words are folded so that characters that scanners confuse become one, and a rare word whose fold is that
+of a far commoner one is a misreading of it.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _FOREIGN = re.compile("|".join(sorted(map(re.escape, _FOR_LETTERS), key=len, rev
 
 _HYPHENS = "-¬­‐‑"
 _BROKEN = re.compile(f"([^\\W\\d_][\\w'•~|#]*|\\w[^\\W\\d_])[{_HYPHENS}] *$")
+_LAST, _FIRST = re.compile(f"([^\\W\\d_]+(?:[-‐‑][^\\W\\d_]+)*)[{_HYPHENS}] *$"), re.compile("[^\\W\\d_]+(?:[-‐‑][^\\W\\d_]+)*")
 _TOKEN = re.compile(r"[^\s.,;:()«»\"“”„!?/\[\]…—–\-¬­‐‑]+")
 _CYRILLIC = re.compile("[а-яё]{4,}$")
 _CYR_LOWER, _CYR = re.compile("[а-яё]"), re.compile("[А-Яа-яЁё]")
@@ -43,7 +45,8 @@ _DIGIT_WORD = re.compile("(?=\\D*\\d)[\\d" + "".join(re.escape(c) for c in _FOR_
 _PAGE_NUMBER = re.compile(r"^[\s\W]*(?:страница|стр|лист|с|page|p)?\.?\s*(?:№\s*)?(\d{1,5})(?:\s*(?:из|/|of)\s*\d{1,5})?[\s\W]*$", re.I)
 _EDGE_NUMBER = re.compile(r"^\s*\d{1,5}(?:\s{2,}|\t)|(?:\s{2,}|\t)\d{1,5}\s*$")
 _FEATURES = """struct<local: array<struct<line_no: int, kind: string>>, edges: array<struct<line_no: int, foot: boolean, key: string>>,
-    numbers: array<struct<line_no: int, n: int>>, words: array<struct<word: string, line_no: int, next_no: int, at: int>>>"""
+    numbers: array<struct<line_no: int, n: int>>, words: array<struct<word: string, line_no: int, next_no: int, at: int>>,
+    breaks: array<struct<line_no: int, next_no: int, upper: boolean, first: string, rest: string, forms: array<struct<form: string, own: boolean, whole: boolean>>>>>"""
 
 
 def fold(word: str) -> str:
@@ -78,14 +81,27 @@ def foreign_in(token: str) -> bool:
     return known and cyrillic >= 2 and (cyrillic >= len(rest))
 
 
+def break_forms(line: str, following: str) -> tuple[str, str, list[tuple[str, bool, bool]]] | None:
+    """(last part of ``line``, first part of ``following``, forms) of a word broken between them; None without letters.
+
+    A form is (word, whether the hyphen is its own, whether it is all of a compound and not only the parts at the break).
+    """
+    a, b = _LAST.search(line), _FIRST.match(following)
+    if not a or not b:
+        return None
+    lead, tail = (re.sub("[‐‑]", "-", m).lower() for m in (a[1], b[0]))
+    first, rest = lead.rpartition("-")[2], tail.partition("-")[0]
+    return first, rest, [(x + h + y, bool(h), w) for x, y, w in ((lead, tail, True), (first, rest, False)) for h in ("", "-")]
+
+
 def page_features(text: str | None) -> tuple | None:
-    """(local kinds, edge lines, page-number candidates, words) of one page."""
+    """(local kinds, edge lines, page-number candidates, words, breaks) of one page."""
     if not text or not text.strip():
         return None
     lines = text.split("\n")
     solid = [i for i, s in enumerate(lines) if s.strip()]
     local: set[tuple[int, str]] = set()
-    edges, numbers, words = [], [], []
+    edges, numbers, words, breaks = [], [], [], []
     body = list(solid)
     for _ in range(2):
         if body and (m := _PAGE_NUMBER.match(lines[body[-1]])) and not re.fullmatch(r"\d+(?:[  ]\d{3})+", lines[body[-1]].strip()):
@@ -116,6 +132,8 @@ def page_features(text: str | None) -> tuple | None:
         if m:
             nxt = lines[j].lstrip() if j is not None else ""
             head = _TOKEN.match(nxt)
+            if forms := break_forms(line, nxt):
+                breaks.append((i, j, nxt[0].isupper(), *forms))
             if not nxt or not nxt[0].isupper():
                 local.add((i, "hyphen"))
                 first = tokens.pop()
@@ -137,14 +155,14 @@ def page_features(text: str | None) -> tuple | None:
             low = t.lower()
             if _CYRILLIC.match(low):
                 words.append((low, i, i, len(low)))
-    return sorted(local), edges, numbers, words
+    return sorted(local), edges, numbers, words, breaks
 
 
 def _features(text: Column) -> Column:
     @F.pandas_udf(_FEATURES)
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([page_features(t) or ([], [], [], []) for t in s], columns=["local", "edges", "numbers", "words"])
+            yield pd.DataFrame([page_features(t) or ([], [], [], [], []) for t in s], columns=["local", "edges", "numbers", "words", "breaks"])
 
     return features(text)
 
@@ -158,11 +176,26 @@ def _fold_column(word: Column) -> Column:
     return folded(word)
 
 
-def vocabulary(texts: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): how often each Cyrillic word of four letters or more stands in ``texts`` and in ``pages`` (with features)."""
+def settled_breaks(texts: DataFrame, breaks: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``breaks`` (key, line_no, next_no, upper, first, rest, forms) that the corpus vocabulary knows, with ``own``: whether the hyphen is the word's own.
+
+    The forms of a break are counted in ``texts``, words at line ends with hyphens left out.  The hyphen is the word's own
+    where the hyphenated form is the commoner one; the parts at the break decide only where the whole compound is unknown.
+    """
+    at = [*key, "line_no", "next_no", "upper", "first", "rest"]
+    unbroken = F.regexp_replace(F.lower(text), f"\\S+[{_HYPHENS}][ ]*\\n\\s*\\S*", " ")
+    words = texts.select(F.explode(F.regexp_extract_all(unbroken, F.lit(r"\p{L}+(?:[-‐‑]\p{L}+)*"), 0)).alias("form"))
+    counts = words.groupBy(F.regexp_replace("form", "[‐‑]", "-").alias("form")).agg(F.count("*").alias("n"))
+    forms = breaks.select(*at, F.explode("forms").alias("x")).select(*at, "x.*").distinct()
+    n = lambda own, whole: F.coalesce(F.sum(F.when((F.col("own") == own) & (F.col("whole") == whole), F.col("n"))), F.lit(0))
+    found = forms.join(counts, "form").groupBy(*at).agg(n(True, True).alias("hw"), n(False, True).alias("jw"), n(True, False).alias("hp"), n(False, False).alias("jp"))
+    return found.select(*at, F.when(F.col("hw") + F.col("jw") > 0, F.col("hw") > F.col("jw")).otherwise(F.col("hp") > F.col("jp")).alias("own"))
+
+
+def vocabulary(texts: DataFrame, read: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each Cyrillic word of four letters or more stands in ``texts`` and in ``read`` (the words of pages)."""
     plain = texts.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[а-яё]{4,}"), 0)).alias("word"))
-    read = pages.select(F.explode("f.words.word").alias("word"))
-    return plain.unionByName(read).groupBy("word").agg(F.count("*").alias("n"))
+    return plain.unionByName(read.select("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def misreadings(vocab: DataFrame) -> DataFrame:
@@ -179,7 +212,7 @@ def scan_noise(sections: DataFrame, documents: DataFrame, doc_id: str = "doc_id"
     """(doc_id, section_idx, line_no, noise_kind, word, meant) of every noisy line of the scanned documents, once each.
 
     Kinds: hyphen, misread, running_head, page_number.  ``word`` and ``meant`` are given for misreadings found by the
-    vocabulary.  ``line_no`` counts all lines of the section from 0.  Null and blank texts have no noise, documents
+    vocabulary, and for line ends whose hyphen is the word's own (without and with it).  ``line_no`` counts all lines of the section from 0.  Null and blank texts have no noise, documents
     without a type are no scans, repeated rows count once, other columns of the tables don't matter.
     """
     scans = documents.where(F.col(kind) == scan).select(doc_id).distinct()
@@ -191,6 +224,18 @@ def scan_noise(sections: DataFrame, documents: DataFrame, doc_id: str = "doc_id"
 
     local = pages.select(*key, F.explode("f.local").alias("l")).select(*key, "l.line_no", F.col("l.kind").alias("noise_kind"))
 
+    # line ends in words: those that go on in upper case only if the vocabulary knows the word; settled ones hold no misreading
+    settled = cut(settled_breaks(src.select(*key, text).distinct(), pages.select(*key, F.explode("f.breaks").alias("b")).select(*key, "b.*"), key, text))
+    own = F.col("own")
+    broken = settled.where(F.col("upper") | own).select(
+        *key, "line_no", F.lit("hyphen").alias("noise_kind"), F.when(own, F.concat("first", "rest")).alias("word"), F.when(own, F.concat_ws("-", "first", "rest")).alias("meant")
+    )
+    not_words = settled.where(F.col("upper") | own).select(*key, F.explode(F.array(
+        F.struct("line_no", "next_no", F.concat("first", "rest").alias("word")), F.struct("line_no", F.col("line_no").alias("next_no"), F.col("first").alias("word")),
+        F.struct(F.col("next_no").alias("line_no"), "next_no", F.col("rest").alias("word")),
+    )).alias("x")).select(*key, "x.*").distinct()
+    at = pages.select(*key, F.explode("f.words").alias("w")).select(*key, "w.*").join(not_words, [*key, "line_no", "next_no", "word"], "left_anti")
+
     numbers = pages.select(*key, page, F.explode("f.numbers").alias("x")).select(*key, page, "x.line_no", "x.n").distinct()
     numbers = numbers.withColumn("offset", F.col("n") - F.col(page))
     steady = numbers.groupBy(doc_id, "offset").agg(F.countDistinct(section).alias("pages"))
@@ -211,23 +256,23 @@ def scan_noise(sections: DataFrame, documents: DataFrame, doc_id: str = "doc_id"
     )
     running = exact.select(*key, "line_no").unionByName(close.select(*key, "line_no")).withColumn("noise_kind", F.lit("running_head"))
 
-    vocab = cut(vocabulary(others, pages, text))
+    vocab = cut(vocabulary(others, at, text))
     wrong = cut(misreadings(vocab))
     sound = vocab.orderBy(F.desc("n"), "word").limit(SOUND_WORDS).join(wrong, "word", "left_anti").select("word")
-    at = pages.select(*key, F.explode("f.words").alias("w")).select(*key, "w.*")
     found = at.join(broadcast_if_small(sound, SOUND_WORDS), "word", "left_anti").join(wrong, "word")
     differs = F.expr("filter(sequence(1, greatest(length(word), length(meant))), i -> substring(word, i, 1) <> substring(meant, i, 1))[0]")
     misread = found.select(*key, F.when(differs > F.col("at"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), F.lit("misread").alias("noise_kind"), "word", "meant")
 
     plain = local.unionByName(page_numbers).unionByName(running).withColumns({"word": F.lit(None).cast("string"), "meant": F.lit(None).cast("string")})
-    return plain.unionByName(misread).select(*key, "line_no", "noise_kind", "word", "meant").distinct()
+    return plain.unionByName(broken).unionByName(misread).select(*key, "line_no", "noise_kind", "word", "meant").distinct()
 
 
-def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]], known=None) -> str:
+def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]]) -> str:
     """``text`` without running lines and page numbers, its words joined and corrected, its lines run into paragraphs."""
     gone = {i for i, kind, _, _ in noise if kind in ("running_head", "page_number")}
     broken = {i for i, kind, _, _ in noise if kind == "hyphen"}
-    meant = {w: m for _, _, w, m in noise if w}
+    own = {i for i, kind, _, m in noise if kind == "hyphen" and m}
+    meant = {w: m for _, kind, w, m in noise if w and kind == "misread"}
     out: list[str] = []
     carry, fresh = "", True
     for i, line in enumerate(text.split("\n")):
@@ -245,11 +290,11 @@ def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]],
         if i in broken:
             m = re.search(f"(\\S+?)[{_HYPHENS}]$", s)
             if m:
-                carry, s = m[1], s[: m.start()].rstrip()
+                carry, s = m[1] + "-" * (i in own), s[: m.start()].rstrip()
         if fresh or not out:
             out.append(s)
         elif s:
-            out[-1] += " " + s
+            out[-1] = f"{out[-1]} {s}".lstrip()
         fresh = False
     if carry:
         out.append(carry) if not out else out.__setitem__(-1, out[-1] + " " + carry)

@@ -43,3 +43,14 @@ def test_tokens():
     assert [t for t in bad if not scans.foreign_in(t)] == [] and [t for t in good if scans.foreign_in(t)] == []
     assert scans.fold("рублсй") == scans.fold("рублей") and scans.fold("Дог0вор") == scans.fold("договор") and scans.fold("активьi") == scans.fold("активы")
     assert scans.page_features("") is None and scans.page_features(None) is None
+
+
+def test_breaks_by_vocabulary(spark):
+    """A compound keeps its own hyphen, words go on in upper case too; a line end of unknown upper-case words is none."""
+    pages = ["Банк по-\nпрежнему составил бизнес-\nплан и соста-\nвил отчёт", "ВЫРУЧ-\nКА в г. Нижне-\nКамск выросла\nу ПАО-\nРомашка"]
+    s, d = frames(spark, pages, extra=["Банк по-прежнему имеет бизнес-план. Выручка в Нижне-Камск. Составил отчёт по-\nпрежнему."])
+    noise = scans.scan_noise(s, d)
+    assert {(r.section_idx, r.line_no) for r in noise.where("noise_kind = 'hyphen'").collect()} == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)}
+    out = {r.section_idx: r.repaired for r in scans.repair_scans(s, noise).collect()}
+    assert out[0] == "Банк по-прежнему составил бизнес-план и составил отчёт"
+    assert out[1] == "ВЫРУЧКА в г. Нижне-Камск выросла у ПАО- Ромашка"
