@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scanned sections as continuous paragraphs."""
-    return scans.repair_scans(table(spark, sf_dir, "sections"), _noise(spark, sf_dir))
+    return scans.repair_scans(table(spark, sf_dir, "sections"), _noise(spark, sf_dir), documents=table(spark, sf_dir, "parsed_documents"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,15 +313,18 @@ def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]])
     return "\n\n".join(_TOKEN.sub(right, p) for p in out if p)
 
 
-def repair_scans(sections: DataFrame, noise: DataFrame, doc_id: str = "doc_id", section: str = "section_idx", text: str = "text") -> DataFrame:
-    """``doc_id``, ``section_idx`` and ``repaired``, the continuous text, of every section of ``noise``'s documents.
+def repair_scans(
+    sections: DataFrame, noise: DataFrame, doc_id: str = "doc_id", section: str = "section_idx", text: str = "text", documents: DataFrame | None = None, kind: str = "document_type", scan: str = "pdf_scan"
+) -> DataFrame:
+    """``doc_id``, ``section_idx`` and ``repaired``, the continuous text, of every section of the scanned ``documents``.
 
-    Sections of other documents are not returned; null texts stay null; repeated rows count once.  What is gathered
+    Those without noise are run into paragraphs too.  Without ``documents`` the sections are those of the documents that
+    have noise.  Sections of other documents are not returned; null texts stay null; repeated rows count once.  What is gathered
     for a section is bounded by its own lines and words.
     """
     key = [doc_id, section]
     gathered = noise.groupBy(*key).agg(F.collect_list(F.struct("line_no", "noise_kind", "word", "meant")).alias("noise"))
-    docs = noise.select(doc_id).distinct()
+    docs = (noise if documents is None else documents.where(F.col(kind) == scan)).select(doc_id).distinct()
     src = sections.select(*key, text).distinct().join(docs, doc_id, "left_semi").join(gathered, key, "left")
 
     @F.pandas_udf("string")

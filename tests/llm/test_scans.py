@@ -54,3 +54,10 @@ def test_breaks_by_vocabulary(spark):
     out = {r.section_idx: r.repaired for r in scans.repair_scans(s, noise).collect()}
     assert out[0] == "Банк по-прежнему составил бизнес-план и составил отчёт"
     assert out[1] == "ВЫРУЧКА в г. Нижне-Камск выросла у ПАО- Ромашка"
+
+
+def test_scan_without_noise(spark):
+    s, d = frames(spark, ["Выручка выросла\nза год.\n\nИтог"])
+    noise = scans.scan_noise(s, d)
+    assert noise.count() == 0
+    assert [tuple(r) for r in scans.repair_scans(s, noise, documents=d.union(d)).collect()] == [("d", 0, "Выручка выросла за год.\n\nИтог")]
