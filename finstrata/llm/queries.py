@@ -23,6 +23,11 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair_scans(table(spark, sf_dir, "sections"), _noise(spark, sf_dir), documents=table(spark, sf_dir, "parsed_documents"))
 
 
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scanned document's text as continuous paragraphs, in place of its raw_text."""
+    return scans.repair_documents(table(spark, sf_dir, "sections"), _noise(spark, sf_dir), table(spark, sf_dir, "parsed_documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that look the same and differ in characters."""
     return canon.look_alike_pairs(table(spark, sf_dir, "annotated_chunks"))
@@ -80,7 +85,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLES = {
     "p6_found": r"""

@@ -267,35 +267,56 @@ def scan_noise(sections: DataFrame, documents: DataFrame, doc_id: str = "doc_id"
     return plain.unionByName(broken).unionByName(misread).select(*key, "line_no", "noise_kind", "word", "meant").distinct()
 
 
-def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]]) -> str:
-    """``text`` without running lines and page numbers, its words joined and corrected, its lines run into paragraphs."""
-    gone = {i for i, kind, _, _ in noise if kind in ("running_head", "page_number")}
-    broken = {i for i, kind, _, _ in noise if kind == "hyphen"}
-    own = {i for i, kind, _, m in noise if kind == "hyphen" and m}
-    meant = {w: m for _, kind, w, m in noise if w and kind == "misread"}
+def goes_on(end: str, start: str, widest: int) -> bool:
+    """Whether a page that begins with the line ``start`` goes on with the paragraph that ``end`` is the last line of.
+
+    A line of words about as long as the longest line of its page, ``widest``, was wrapped; headings and table rows are shorter.
+    """
+    if end[-1] in ":;":
+        return False
+    full = len(end) >= 0.7 * widest and sum(c.isalpha() for c in end) > sum(c.isdigit() for c in end)
+    return start[0].islower() or end[-1] in ",(«—–" or end[-1] not in ".!?…" and (full or start[0] in "«(")
+
+
+def repair_document(pages: list[tuple[str | None, list[tuple[int, str, str | None, str | None]]]]) -> str:
+    """Pages with their noise without running lines and page numbers, words joined and corrected, lines run into paragraphs, also over page turns."""
+    kept: list[list] = []
+    lengths: dict[int, list[int]] = {}
+    meant: dict[str, str] = {}
+    for page, (text, noise) in enumerate(pages):
+        gone = {i for i, kind, _, _ in noise if kind in ("running_head", "page_number")}
+        broken = {i for i, kind, _, _ in noise if kind == "hyphen"}
+        own = {i for i, kind, _, m in noise if kind == "hyphen" and m}
+        meant |= {w: m for _, kind, w, m in noise if w and kind == "misread"}
+        fresh = True
+        for i, line in enumerate((text or "").split("\n")):
+            if i in gone:
+                continue
+            s = " ".join(line.split())
+            if s:
+                kept.append([page, s, fresh, i in broken, i in own])
+                lengths.setdefault(page, []).append(len(s))
+            fresh = not s
+    for before, line in zip(kept, kept[1:], strict=False):
+        if before[0] != line[0]:
+            before[3:] = [bool(_BROKEN.search(before[1])) and line[1][0].islower(), False]
+            line[2] = not goes_on(before[1], line[1], max(lengths[before[0]][:-1], default=1 << 30))
     out: list[str] = []
-    carry, fresh = "", True
-    for i, line in enumerate(text.split("\n")):
-        if i in gone:
-            continue
-        s = " ".join(line.split())
-        if not s:
-            fresh = True
-            continue
+    carry = ""
+    for _, s, fresh, cut_off, own_hyphen in kept:
         if carry:
             s, carry = carry + s, ""
             fresh = False
             if out:
                 out[-1] = out[-1].rstrip()
-        if i in broken:
+        if cut_off:
             m = re.search(f"(\\S+?)[{_HYPHENS}]$", s)
             if m:
-                carry, s = m[1] + "-" * (i in own), s[: m.start()].rstrip()
+                carry, s = m[1] + "-" * own_hyphen, s[: m.start()].rstrip()
         if fresh or not out:
             out.append(s)
         elif s:
             out[-1] = f"{out[-1]} {s}".lstrip()
-        fresh = False
     if carry:
         out.append(carry) if not out else out.__setitem__(-1, out[-1] + " " + carry)
 
@@ -313,6 +334,21 @@ def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]])
     return "\n\n".join(_TOKEN.sub(right, p) for p in out if p)
 
 
+def repair_page(text: str, noise: list[tuple[int, str, str | None, str | None]]) -> str:
+    """One page as ``repair_document`` repairs it."""
+    return repair_document([(text, noise)])
+
+
+def _noise_rows(rows) -> list[tuple]:
+    return [] if rows is None else [(r["line_no"], r["noise_kind"], r["word"], r["meant"]) for r in rows]
+
+
+def _with_noise(sections: DataFrame, noise: DataFrame, docs: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, text, noise): the distinct sections of ``docs``, each with its gathered noise or null."""
+    gathered = noise.groupBy(*key).agg(F.collect_list(F.struct("line_no", "noise_kind", "word", "meant")).alias("noise"))
+    return sections.select(*key, text).distinct().join(docs, key[0], "left_semi").join(gathered, key, "left")
+
+
 def repair_scans(
     sections: DataFrame, noise: DataFrame, doc_id: str = "doc_id", section: str = "section_idx", text: str = "text", documents: DataFrame | None = None, kind: str = "document_type", scan: str = "pdf_scan"
 ) -> DataFrame:
@@ -323,13 +359,37 @@ def repair_scans(
     for a section is bounded by its own lines and words.
     """
     key = [doc_id, section]
-    gathered = noise.groupBy(*key).agg(F.collect_list(F.struct("line_no", "noise_kind", "word", "meant")).alias("noise"))
     docs = (noise if documents is None else documents.where(F.col(kind) == scan)).select(doc_id).distinct()
-    src = sections.select(*key, text).distinct().join(docs, doc_id, "left_semi").join(gathered, key, "left")
+    src = _with_noise(sections, noise, docs, key, text)
 
     @F.pandas_udf("string")
     def repaired(t: pd.Series, n: pd.Series) -> pd.Series:
-        rows = ((x, [] if y is None else [(r["line_no"], r["noise_kind"], r["word"], r["meant"]) for r in y]) for x, y in zip(t, n, strict=True))
-        return pd.Series([None if x is None else repair_page(x, y) for x, y in rows], dtype=object)
+        return pd.Series([None if x is None else repair_page(x, _noise_rows(y)) for x, y in zip(t, n, strict=True)], dtype=object)
 
     return src.select(*key, repaired(F.col(text), F.col("noise")).alias("repaired"))
+
+
+def repair_documents(
+    sections: DataFrame, noise: DataFrame, documents: DataFrame, doc_id: str = "doc_id", section: str = "section_idx", text: str = "text", raw: str = "raw_text", kind: str = "document_type", scan: str = "pdf_scan"
+) -> DataFrame:
+    """``doc_id`` and ``repaired``, the continuous text in place of ``raw``, of every scanned document.
+
+    The pages are its sections in order.  A document without sections has its ``raw`` repaired as one page, as far as a
+    page shows its noise by itself; null stays null.  What is gathered for a document is its own pages.
+    """
+    docs = documents.where(F.col(kind) == scan).groupBy(doc_id).agg(F.max(raw).alias("raw"))
+    src = _with_noise(sections, noise, docs, [doc_id, section], text)
+    pages = src.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct(F.col(section).alias("section"), F.col(text).alias("text"), "noise"))).alias("pages"))
+    src = docs.join(pages, doc_id, "left").select(doc_id, F.when(F.col("pages").isNull(), F.col("raw")).alias("raw"), "pages")
+
+    @F.pandas_udf("string")
+    def repaired(r: pd.Series, p: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(r, p, strict=True):
+            if y is not None:
+                out.append(repair_document([(page["text"], _noise_rows(page["noise"])) for page in y]))
+            else:
+                out.append(None if x is None else repair_page(x, [(i, k, None, None) for i, k in (page_features(x) or ([],))[0]]))
+        return pd.Series(out, dtype=object)
+
+    return src.select(doc_id, repaired(F.col("raw"), F.col("pages")).alias("repaired"))

@@ -61,3 +61,13 @@ def test_scan_without_noise(spark):
     noise = scans.scan_noise(s, d)
     assert noise.count() == 0
     assert [tuple(r) for r in scans.repair_scans(s, noise, documents=d.union(d)).collect()] == [("d", 0, "Выручка выросла за год.\n\nИтог")]
+
+
+def test_documents_over_page_turns(spark):
+    """Paragraphs and words go on over page turns; a document without noise or without sections has a text too."""
+    pages = ["АО «Альфа»\nВыручка выросла и соста-\nСтраница 1", "АО «Альфа»\nвила 5 млн руб. за\nгоду, потому что\nСтраница 2", "АО «Альфа»\nБанк рад.\n\nИтог\nСтраница 3", None, "АО «Альфа»\nПрочее\nСтраница 5"]
+    s, _ = frames(spark, pages)
+    s = s.union(spark.createDataFrame([("q", 0, 1, "Один\nабзац", "k")], s.schema))
+    d = spark.createDataFrame([(x, "pdf_scan", r) for x, r in (("d", "x"), ("q", "y"), ("q", "y"), ("r", "соста-\nвила Дог0вор"), ("n", None))] + [("e0", "docx", "z")], "doc_id string, document_type string, raw_text string")
+    out = {r.doc_id: r.repaired for r in scans.repair_documents(s, scans.scan_noise(s, d), d).collect()}
+    assert out == {"d": "Выручка выросла и составила 5 млн руб. за году, потому что Банк рад.\n\nИтог\n\nПрочее", "q": "Один абзац", "r": "составила Договор", "n": None}
