@@ -25,7 +25,9 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scanned document's text as continuous paragraphs, in place of its raw_text."""
-    return scans.repair_documents(table(spark, sf_dir, "sections"), _noise(spark, sf_dir), table(spark, sf_dir, "parsed_documents"))
+    docs = table(spark, sf_dir, "parsed_documents")
+    pages = scans.with_raw_texts(table(spark, sf_dir, "sections"), docs)
+    return scans.repair_documents(pages, scans.scan_noise(pages, docs), docs)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
