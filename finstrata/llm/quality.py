@@ -2,8 +2,10 @@
 
 Tables show as delimiters that stand in the same number, or in the same columns, in neighbouring lines with mostly
 figures between them; lists as markers that recur, or as runs of short unpunctuated lines that have indents with a
-period or lack the even width of wrapped prose (the autocorrelation of their lengths is low).  Both are weighed by the
-share of the text they cover, together with the word, symbol, repetition and punctuation ratios.
+period or lack the even width of wrapped prose (the autocorrelation of their lengths is low).  How much of a text they
+must cover depends on its signs of prose: common words, lines that end in punctuation, words of usual length, few symbols,
+lines of even width.  Junk shows in characters that can't be text of any script, in Latin or Cyrillic words without a
+vowel, in random runs, repetition and symbols; common words speak against the doubtful ones of these.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ COMMON_WORDS = frozenset(
     "он она они мы вы я который которая которые также поэтому причём чем через если когда был была были было будет есть "
     "the of and to in a an is was were are be been for on at by with from as that this it its or not which has have had will their than due against given".split()
 )
-#: A kind holds when it covers at least this share of the text.
-MOSTLY = 0.5
+#: A layout holds when it covers at least this share of a text without any sign of prose, and so much more for each sign.
+COVERED, PER_SIGN = 0.35, 0.06
+#: Signs of prose: shares of common words and of lines that end in punctuation, word lengths, symbols, evenness of line lengths.
+COMMON, PUNCTUATED, WORD_LENGTHS, SYMBOLS, EVEN = 0.08, 0.3, (3.0, 12.0), 0.12, 0.85
 
 _NUMERIC_CELL = re.compile(r"[\s$€₽+−–(-]*(?:\d[\d\s   .,'%]*[)%]?|[—–-]+|:?-{3,}:?|н/д|n/a|нет данных|x|)\s*$", re.I)
 _FIGURE = re.compile(r"\d")
@@ -32,9 +36,12 @@ _LEADER = re.compile(r"(?:\.{4,}|(?:\. ){4,}|_{4,}|…{2,})\s*\d+\s*$")
 _ENDS = ".!?…:;»\"”)"
 _SENTENCE = re.compile(r"[.!?…][»\"”)]*(?:\s|$)")
 _GAP = re.compile(r" {2,}")
-_GARBLED = re.compile("[\x80-\x9f�□¿À-ÿ]|(?<=\\w)\\?(?=\\w)")
-_LETTERS_DIGITS = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[\w+/=]{6,}$")
-_NO_VOWEL = re.compile(r"[^\W\d_aeiouyаеёиоуыэюяії]{2,}$", re.I)
+# Characters that stand for the bytes 0x80 to 0xBF where UTF-8 was read in a Western code page.
+_CONTINUED = "\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: What no script writes: lost characters, control codes, UTF-8 read byte by byte, words of nothing but accented letters.
+_GARBLED = re.compile(f"[\x80-\x9f�□]|[Â-ô][{_CONTINUED}]|(?<=\\w)¿|¿(?!\\w)|\\?(?=\\w)|(?<!\\w)[À-ÿ]{{3,}}(?!\\w)")
+_RANDOM = re.compile(r"(?<!\S)(?:(?=\S*\d)(?=\S*[A-Za-z])[\w+/=]{6,}|[A-Za-z0-9+=А-яЁё]{41,}|(?=\S{0,59}\d)(?=\S{0,59}[A-Za-z])[\w+/=]{60}\S+)(?!\S)")
+_NO_VOWEL = re.compile(r"(?<![^\W_])[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщъь]{2,}(?![^\W_])")
 _SPLIT = re.compile(r"[^\W_]+")
 
 
@@ -43,8 +50,7 @@ def _cells(line: str) -> tuple[str, list[str]]:
     for d in ("|", "\t"):
         if d in line:
             return d, line.strip().strip("|").split(d) if d == "|" else line.split(d)
-    gaps = _GAP.split(line.strip())
-    if len(gaps) > 2:
+    if "  " in line and len(gaps := _GAP.split(line.strip())) > 2:
         return "  ", gaps
     if line.count(";") >= 2:
         return ";", line.strip().strip(";").split(";")
@@ -151,10 +157,10 @@ def text_statistics(text: str | None) -> dict | None:
     lines = [s for s in text.split("\n") if s.strip()]
     grams = max(1, len(words) - 2)
     distinct = len(set(zip(words, words[1:], words[2:], strict=False))) / grams if n >= 3 else 1.0
-    garbled = len(_GARBLED.findall(text)) / solid
-    random = sum(len(w) for w in words if len(w) > 40 and not any(c in w for c in "/_-.") or len(w) > 60 and _LETTERS_DIGITS.match(w[:60]) or _LETTERS_DIGITS.match(w)) / solid
-    spelt = [w for w in plain if len(w) > 1 and not w.isdigit()]
-    unspeakable = sum(len(w) for w in spelt if _NO_VOWEL.match(w)) / max(1, sum(map(len, spelt)))
+    garbled = 0 if text.isascii() and "?" not in text else sum(map(len, _GARBLED.findall(text))) / solid
+    random = sum(map(len, _RANDOM.findall(text))) / solid
+    spelt = letters - len(_FIGURE.findall(text))
+    unspeakable = sum(map(len, _NO_VOWEL.findall(text.lower()))) / max(1, spelt)
     table = _table_lines(lines)
     listed = _list_lines(lines, table)
     size = sum(len(s.strip()) for s in lines)
@@ -169,23 +175,25 @@ def text_statistics(text: str | None) -> dict | None:
     }
 
 
+def prose_signs(s: dict) -> int:
+    """How many of the five signs of prose the statistics show."""
+    low, high = WORD_LENGTHS
+    return sum((s["common_word_share"] >= COMMON, s["punct_line_share"] >= PUNCTUATED, low <= s["mean_word_length"] <= high, s["symbol_ratio"] <= SYMBOLS, s["line_autocorrelation"] >= EVEN))
+
+
 def text_kind(s: dict | None) -> str | None:
     """prose, list, table or junk, by :func:`text_statistics`; none for blank texts."""
     if s is None:
         return None
-    if s["garbled_ratio"] > 0.08 or s["random_share"] > MOSTLY:
-        return "junk"
-    if s["unspeakable_share"] > 0.4 and s["table_share"] < MOSTLY:
-        return "junk"
-    if s["word_count"] >= 12 and s["distinct_share"] < 0.2:
+    signs = prose_signs(s)
+    need = COVERED + PER_SIGN * signs
+    laid_out = max(s["table_share"], s["list_share"]) >= need
+    worded = s["common_word_share"] >= COMMON
+    if s["garbled_ratio"] > 0.08 or s["random_share"] > 0.5 or s["word_count"] >= 12 and s["distinct_share"] < 0.2:
         return "junk"
-    if s["symbol_ratio"] > 0.5 and s["table_share"] < MOSTLY and s["list_share"] < MOSTLY:
+    if not laid_out and (s["unspeakable_share"] > (0.6 if worded else 0.3) or s["symbol_ratio"] > (0.7 if worded else 0.5)):
         return "junk"
-    if s["table_share"] >= MOSTLY:
-        return "table"
-    if s["list_share"] >= MOSTLY:
-        return "list"
-    if s["table_share"] + s["list_share"] >= 0.65:
+    if laid_out or s["table_share"] + s["list_share"] >= need + 0.15:
         return "table" if s["table_share"] >= s["list_share"] else "list"
     return "prose"
 
