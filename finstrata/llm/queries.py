@@ -62,9 +62,9 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that are cut."""
+    """Chunks that are cut for their number of words."""
     pieces = splitter.split_oversized(table(spark, sf_dir, "chunks").select("doc_id", "chunk_id", "text"))
-    return pieces.where("n_pieces > 1").select("doc_id", "chunk_id").distinct()
+    return pieces.where("n_pieces > 1 and n_words > 128").select("doc_id", "chunk_id").distinct()
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
