@@ -33,16 +33,19 @@ _SAME = {"‐": "-", "‑": "-", "ʼ": "’", "…": "...", "\r": "\n", "\v": "\
 _NOT_RUSSIAN = "IJSijsІЈЅіјѕΙ"
 _OWN_CYRILLIC = re.compile("[%s]+" % "".join(chr(c) for c in range(0x400, 0x530) if chr(c).isalpha() and chr(c) not in _TO_LATIN))
 _OWN_LATIN = re.compile("[%s]+" % "".join(c for c in map(chr, range(0x41, 0x530)) if c in _NOT_RUSSIAN or c.isalpha() and ord(c) < 0x250 and c not in _TO_CYRILLIC))
-_ANY_CYRILLIC = re.compile("[Ѐ-ԯ]")
-_ANY_LATIN_OR_GREEK = re.compile("[A-Za-zͰ-Ͽ]")
+_IN_CYR_TEXT, _IN_LAT_TEXT = re.compile("[A-Za-zͰ-Ͽ]+"), re.compile("[Ѐ-ԯͰ-Ͽ]+")
 
 
-def _count(pattern: re.Pattern, text: str) -> int:
-    return sum(map(len, pattern.findall(text)))
+def _count(pattern: re.Pattern, text: str, most: int = 1 << 60) -> int:
+    """The characters of ``text`` in runs of ``pattern``; counting ends once there are ``most``."""
+    n = 0
+    for m in pattern.finditer(text):
+        n += m.end() - m.start()
+        if n >= most:
+            break
+    return n
 
 
-_WORD_OF_CYR_TEXT = re.compile(r"(?<![^\W\d_])[^\W\d_]*[A-Za-zͰ-Ͽ][^\W\d_]*")
-_WORD_OF_LAT_TEXT = re.compile(r"(?<![^\W\d_])[^\W\d_]*[Ѐ-ԯͰ-Ͽ][^\W\d_]*")
 #: Runs outside the commonest stable characters; only these are checked closely.
 _SUSPECT = re.compile("[^ -~\nА-яЁё«»—–₽№]+")
 _BLANKS = re.compile(" *\n *|  +")
@@ -104,20 +107,24 @@ def _settle(text: str) -> str:
     """Words that mix scripts, or that stand in a text of the other script, in one script.
 
     A word goes by its letters that only one script has, a word without such by the text.  Both depend on looks alone,
-    so two texts that look the same settle to the same characters.
+    so two texts that look the same settle to the same characters.  Only words with letters foreign to the text are looked at.
     """
-    if not (_ANY_CYRILLIC.search(text) or _ANY_LATIN_OR_GREEK.search(text)):
-        return text
-    cyrillic = False
-    if _OWN_CYRILLIC.search(text):
-        cyrillic = not _OWN_LATIN.search(text) or _count(_OWN_CYRILLIC, text) >= _count(_OWN_LATIN, text)
-
-    def one(m: re.Match) -> str:
-        w = m[0]
+    latin = _count(_OWN_LATIN, text) if _IN_CYR_TEXT.search(text) else 0
+    cyrillic = bool(_OWN_CYRILLIC.search(text)) and (not latin or _count(_OWN_CYRILLIC, text, latin) >= latin)
+    out, at = [], 0
+    for m in (_IN_CYR_TEXT if cyrillic else _IN_LAT_TEXT).finditer(text):
+        a, b = m.span()
+        if b <= at:
+            continue
+        while a > at and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        w = text[a:b]
         c, n = _count(_OWN_CYRILLIC, w), _count(_OWN_LATIN, w)
-        return w.translate(_CYR_TABLE if c > n or c == n and cyrillic else _LAT_TABLE)
-
-    return (_WORD_OF_CYR_TEXT if cyrillic else _WORD_OF_LAT_TEXT).sub(one, text)
+        out += (text[at:a], w.translate(_CYR_TABLE if c > n or c == n and cyrillic else _LAT_TABLE))
+        at = b
+    return "".join(out) + text[at:] if out else text
 
 
 def canonical(text: str | None) -> str | None:
@@ -141,7 +148,9 @@ def canonical(text: str | None) -> str | None:
             if unicodedata.is_normalized("NFC", text):
                 break
             text = _settle(unicodedata.normalize("NFC", text))
-    return _BLANKS.sub(lambda m: "\n" * m[0].count("\n") or " ", text).strip(" ")
+    if "  " in text or " \n" in text or "\n " in text:
+        text = _BLANKS.sub(lambda m: "\n" * m[0].count("\n") or " ", text)
+    return text.strip(" ")
 
 
 def canonical_column(col: Column) -> Column:
@@ -188,8 +197,6 @@ def look_alike_pairs(df: DataFrame, key: str = "chunk_key", text: str = "text",
     src = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     canon = canonicalize(src, "__text", "__canon").where(F.size(F.filter(F.split("__canon", r"(?U)\s+"), lambda w: w != "")) >= min_words)
     rows = canon.select("__key", F.unhex(F.md5("__canon")).alias("look"), F.unhex(F.md5("__text")).alias("form")).distinct()
-    from ..session import cut
-
     rows = cut(rows)  # 40 bytes a row; read by the three joins below
     forms = rows.groupBy("look", "form").agg(F.lit(1).alias("one"))
     several = forms.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
