@@ -41,19 +41,21 @@ def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.canonicalize_spans(canon.canonicalize(df)).select("chunk_key", "canonical_text", F.to_json("canonical_spans").alias("canonical_spans"))
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cosine_join.cross_split_overlaps(table(spark, sf_dir, "annotated_chunks"))
-
-
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training chunk and a validation or test chunk with the same or nearly the same text."""
     t, e = F.col("chunk_key_train"), F.col("chunk_key_eval")
-    return _overlaps(spark, sf_dir).select(F.least(t, e).alias("chunk_key_a"), F.greatest(t, e).alias("chunk_key_b"))
+    return cosine_join.cross_split_overlaps(table(spark, sf_dir, "annotated_chunks")).select(F.least(t, e).alias("chunk_key_a"), F.greatest(t, e).alias("chunk_key_b"))
 
 
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps with training per split and source."""
-    return cosine_join.overlap_counts(table(spark, sf_dir, "annotated_chunks"), _overlaps(spark, sf_dir))
+    return cosine_join.overlap_counts(table(spark, sf_dir, "annotated_chunks"))
+
+
+def p5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that overlaps with the other side, with its class and its links."""
+    found = cosine_join.linked_classes(table(spark, sf_dir, "annotated_chunks"), group="source")
+    return cosine_join.overlap_rows(found).withColumnsRenamed({"key": "chunk_key", "group": "source"}).drop("train")
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLES = {
     "p6_found": r"""

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from finstrata.llm import cosine_join as J
 
 
@@ -17,7 +19,7 @@ def edits(a, b):
     return prev[-1]
 
 
-def test_join_against_brute_force(spark):
+def made():
     rng = random.Random(9)
     words = [f"слово{i}" for i in range(60)]
     rows = []
@@ -30,18 +32,48 @@ def test_join_against_brute_force(spark):
                 t[at : at + (how > 0.3)] = [rng.choice(words)] if how < 0.66 else []
             rows.append((len(rows), rng.choice(["train", "train", "test", "validation"]), ", ".join(t).upper(), f"s{base % 3}"))
     rows += [(1000, "train", None, "s"), (1001, "test", "", "s"), (1002, None, rows[0][2], "s"), (1003, "test", "а б в", "s"), (1004, "train", "а б в", "s"), rows[0], rows[1]]
-    df = table(spark, rows)
-    found = J.cross_split_overlaps(df)
-    got = {(r.chunk_key_train, r.chunk_key_eval): r.edits for r in found.collect()}
+    return rows
+
+
+def brute(rows):
     ws = {k: (s, J.words_of(t)) for k, s, t, _ in rows if s}
     want = {}
     for a, (sa, wa) in ws.items():
         for b, (sb, wb) in ws.items():
             if sa == "train" and sb != "train" and min(len(wa), len(wb)) >= 8 and (e := edits(wa, wb)) <= max(len(wa), len(wb)) // 10:
                 want[a, b] = e
+    return want
+
+
+@pytest.mark.parametrize("pairs", [J.LIST_PAIRS, 3])
+def test_join_against_brute_force(spark, monkeypatch, pairs):
+    """Also with lists dealt out, and with few words of known counts."""
+    monkeypatch.setattr(J, "LIST_PAIRS", pairs)
+    monkeypatch.setattr(J, "HEAD_WORDS", min(pairs, J.HEAD_WORDS))
+    rows = made()
+    df = table(spark, rows)
+    found = J.cross_split_overlaps(df)
+    got = {(r.chunk_key_train, r.chunk_key_eval): r.edits for r in found.collect()}
+    want = brute(rows)
     assert got == want and found.count() == len(want) and len(want) > 20
-    counts = J.overlap_counts(df, found)
-    assert sum(r.n_pairs for r in counts.collect()) == len(want)
+
+
+def test_counts_by_classes(spark):
+    rows = made()
+    df, want = table(spark, rows), brute(rows)
+    of = {k: (s, g) for k, s, _, g in rows}
+    counts = {(r.split, r.source): (r.n_rows, r.n_exact, r.n_pairs) for r in J.overlap_counts(df).collect()}
+    expected = {}
+    for b in {b for _, b in want}:
+        links = [e for (_, x), e in want.items() if x == b]
+        n, exact, pairs = expected.get(of[b], (0, 0, 0))
+        expected[of[b]] = n + 1, exact + (min(links) == 0), pairs + len(links)
+    assert counts == expected
+    found = {r.key: (r.train, r.n_pairs, r.least_edits) for r in J.overlap_rows(J.linked_classes(df)).collect()}
+    assert set(found) == {k for pair in want for k in pair}
+    for k, (train, n, least) in found.items():
+        links = [e for (a, b), e in want.items() if k == (a if train else b)]
+        assert (n, least) == (len(links), min(links))
 
 
 def test_empty(spark):
