@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 # Aliases of scales (kind "money") and of ratio units, with their factors.
 SCALE_ALIASES: dict[str, float] = {
@@ -217,7 +217,7 @@ def quantity_column(value: Column, unit: Column, currency: Column, context: Colu
             rows = [read_quantity(*(None if t is None or t != t else t for t in r), ratio_metrics=ratios) for r in zip(v, u, c, x, m, strict=True)]
             yield pd.DataFrame(rows, columns=["number", "unit_alias", "currency_code", "dimension"])
 
-    return read(value, unit, currency, context, metric)
+    return read.asNondeterministic()(value, unit, currency, context, metric)  # else a filter of the result would run it twice
 
 
 def factor_table(spark) -> DataFrame:
@@ -266,6 +266,7 @@ def matching_amounts(df: DataFrame, keys: Sequence[str], id_col: str, amount: st
         F.when(a == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs(a)) / width)).cast("long").alias("__bin"),
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
     )
+    base = cut(base.distinct())  # narrow, and read twice below
     on = [*[f"__k{i}" for i in range(len(keys))], "__sign", "__bin"]
     low = base.withColumnsRenamed({"__id": "__id1", "__m": "__m1"}).withColumn("__bin", F.explode(F.array(F.col("__bin"), F.col("__bin") + 1)))
     high = base.withColumnsRenamed({"__id": "__id2", "__m": "__m2"})
