@@ -26,13 +26,13 @@ def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span object of every readable record."""
-    bridge = flatten_records(table(spark, sf_dir, "annotation_lines")).span_bridge
+    bridge = flatten_records(table(spark, sf_dir, "annotation_lines"), wanted=["span_bridge"]).span_bridge
     return bridge.select("line_id", F.col("chunk_pos").cast("int").alias("chunk_pos"), F.col("span_pos").cast("int").alias("span_pos"))
 
 
 def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The span table: occurrences with their parents' keys, joined to the objects stored once."""
-    t = flatten_records(table(spark, sf_dir, "annotation_lines"))
+    t = flatten_records(table(spark, sf_dir, "annotation_lines"), wanted=["span_bridge", "span_objects"])
     return t.span_bridge.join(t.span_objects, "span_node").select("line_id", "chunk_pos", "span_pos", "text", "label", "start_pos", "end_pos")
 
 
