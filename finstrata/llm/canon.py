@@ -161,7 +161,7 @@ def canonical_column(col: Column) -> Column:
         for s in batches:
             yield pd.Series([canonical(t) for t in s], dtype=object)
 
-    return canon(col)
+    return canon.asNondeterministic()(col)  # else a filter of the result would run it twice
 
 
 def canonicalize(df: DataFrame, text: str = "text", to: str = "canonical_text") -> DataFrame:
