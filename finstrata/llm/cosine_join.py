@@ -143,7 +143,7 @@ def normal_texts(df: DataFrame, text: str, min_words: int) -> DataFrame:
             yield pd.Series([" ".join(w) if len(w) >= min_words else None for w in found], dtype=object)
 
     # a text of n words has at least 2n-1 characters
-    return df.where(F.length(text) >= 2 * min_words - 1).withColumn("norm", norm(F.col(text))).where("norm is not null")
+    return df.where(F.length(text) >= 2 * min_words - 1).withColumn("norm", norm.asNondeterministic()(F.col(text))).where("norm is not null")
 
 
 def _word_counts(classes: DataFrame) -> tuple[dict[str, int], int]:
