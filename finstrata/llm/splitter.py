@@ -121,7 +121,7 @@ def split_oversized(df: DataFrame, text: str = "text", max_words: int = 128, ove
         *[F.col(f"`{c}`") for c in base.columns], F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), "n_words",
         F.when(F.length(t) > 0, 0).cast("int").alias("piece_start"), F.when(F.length(t) > 0, F.length(t)).cast("int").alias("piece_end"),
     )
-    parts = marked.where("__over").withColumn("__parts", cut(t))
+    parts = marked.where("__over").withColumn("__parts", cut.asNondeterministic()(t))
     parts = parts.select(*[F.col(f"`{c}`") for c in base.columns if c != text], "n_words", F.posexplode("__parts").alias("piece_no", "__p"))
     parts = parts.select(*[F.col("__p.piece").alias(c) if c == text else F.col(f"`{c}`") for c in base.columns], "piece_no", F.col("__p.n").alias("n_pieces"), "n_words", "__p.piece_start", "__p.piece_end")
     return whole.unionByName(parts)
