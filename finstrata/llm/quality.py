@@ -221,5 +221,5 @@ def describe_texts(df: DataFrame, text: str = "text") -> DataFrame:
             yield out
 
     base = df.drop(*STATISTICS.fieldNames())
-    src = base.withColumn("__stats", describe(F.col(text)))
+    src = base.withColumn("__stats", describe.asNondeterministic()(F.col(text)))  # else a filter of the result would run it twice
     return src.select(*[F.col(f"`{c}`") for c in base.columns], "__stats.*")
