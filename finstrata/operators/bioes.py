@@ -2,53 +2,50 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, OUTSIDE, RISKS
-from ..functions.regex import once
 from ..schemas import SPANS
 from .lemma import word_spans
 
 
-
-def _covered(word: Column, span: Column) -> Column:
-    """The word's middle lies in the span."""
-    middle = word["start_pos"] + word["end_pos"]
-    return F.coalesce((2 * span["start_pos"] <= middle) & (middle < 2 * span["end_pos"]), F.lit(False))
+def labels_of(starts: list[int], ends: list[int], spans: list[dict | None] | None) -> list[str]:
+    """A BIOES label for each word, given by its bounds in order: a span covers the words whose middle lies in it, the last one counts."""
+    twice = [a + b for a, b in zip(starts, ends, strict=True)]
+    out = [OUTSIDE] * len(twice)
+    for s in spans or ():
+        if s is None or s["start_pos"] is None or s["end_pos"] is None:
+            continue
+        first, last = bisect_left(twice, 2 * s["start_pos"]), bisect_left(twice, 2 * s["end_pos"]) - 1
+        for i in range(first, last + 1):
+            edge = "S" if first == last else "B" if i == first else "E" if i == last else "I"
+            out[i] = edge if s["label"] is None else f"{edge}-{s['label']}"
+    return out
 
 
 def bioes_labels(words: Column, spans: Column) -> Column:
     """ARRAY<STRING>: a label for each word; of several spans over a word the last counts, uncovered words are O.
 
-    The words of a span are neighbours, so a word is its first or last one by the words beside it.  Null spans and
-    null entries cover nothing.
+    Null spans and null entries cover nothing.  One Arrow pass that goes to each span's words by bisection.
     """
 
-    known = F.coalesce(spans, F.array().cast(SPANS))
-
-    def labelled(ws: Column) -> Column:
-        def label(w: Column, i: Column) -> Column:
-            def over(acc: Column, s: Column) -> Column:
-                before = F.coalesce(_covered(F.get(ws, i - 1), s), F.lit(False))
-                after = F.coalesce(_covered(F.get(ws, i + 1), s), F.lit(False))
-                edge = F.when(before & after, "I").when(before, "E").when(after, "B").otherwise("S")
-                return F.when(_covered(w, s), F.concat_ws("-", edge, s["label"])).otherwise(acc)
-
-            return F.aggregate(known, F.lit(OUTSIDE), over)
-
-        return F.transform(ws, label)
+    @F.arrow_udf("array<string>")
+    def labelled(starts: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if a is None else labels_of(a, b, s) for a, b, s in zip(starts.to_pylist(), ends.to_pylist(), spans.to_pylist(), strict=True)], pa.list_(pa.string()))
 
-    return once(words, labelled)
+    return labelled(words["start_pos"], words["end_pos"], spans)
 
 
 def label_words(df: DataFrame, keys: list[str], text: str = "text", spans: str = "spans") -> DataFrame:
     """``keys``, word_idx (from 0), word, start_pos, end_pos, label."""
-    src = df.select(*keys, F.col(spans).cast(SPANS).alias("__spans"), F.col(text).alias("__text"))
-    zipped = once(word_spans(F.col("__text")), lambda ws: F.arrays_zip(ws.alias("w"), bioes_labels(ws, F.col("__spans")).alias("label")))
+    src = df.select(*keys, F.col(spans).cast(SPANS).alias("__spans"), word_spans(F.col(text)).alias("__words"))
+    zipped = F.arrays_zip(F.col("__words").alias("w"), bioes_labels(F.col("__words"), F.col("__spans")).alias("label"))
     labelled = src.select(*keys, F.posexplode(zipped).alias("word_idx", "x"))
     return labelled.select(*keys, "word_idx", F.col("x.w.text").alias("word"), F.col("x.w.start_pos").alias("start_pos"), F.col("x.w.end_pos").alias("end_pos"), F.col("x.label").alias("label"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,16 +40,25 @@ def slice_sections(df: DataFrame, max_words: int = 150, overlap_ratio: float = 0
     return src.select("doc_id", "section_idx", F.posexplode(s).alias("slice_no", "s")).select("doc_id", "section_idx", "slice_no", F.col("s.piece").alias("piece"), F.col("s.n").cast("int").alias("n_words"))
 
 
+def packages(counts: list[int], max_words: int) -> list[int]:
+    """The number of the package of every piece, filled in order up to ``max_words``."""
+    out, words, number = [], 0, 0
+    for n in counts:
+        if out and words + n > max_words:
+            words, number = 0, number + 1
+        words += n
+        out.append(number)
+    return out
+
+
 def pack(counts: Column, max_words: int) -> Column:
-    """ARRAY<INT>: the number of the package of every piece, by their word counts in order."""
-    zero = F.struct(F.lit(0).alias("w"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("o"))
+    """ARRAY<INT>: :func:`packages` of an array of word counts, in one Arrow pass."""
 
-    def step(s: Column, x: Column) -> Column:
-        full = (F.size(s["o"]) > 0) & (s["w"] + x > max_words)
-        g = s["g"] + full.cast("int")
-        return F.struct(F.when(full, x).otherwise(s["w"] + x).alias("w"), g.alias("g"), F.concat(s["o"], F.array(g)).alias("o"))
+    @F.arrow_udf("array<int>")
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else packages(x, max_words) for x in lists.to_pylist()], pa.list_(pa.int32()))
 
-    return F.aggregate(counts, zero, step, lambda s: s["o"])
+    return packed(counts)
 
 
 def chunk_sections(df: DataFrame, max_words: int = 150, overlap_ratio: float = 0.05) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import METRICS
-from ..functions.regex import NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, WORD, positions
+from ..functions.regex import NOT_AFTER_WORD, SPACE, WORD, positions, python_pattern
 
 METRIC_PHRASES = tuple(sorted((m.replace("_", " ") for m in METRICS), key=len, reverse=True))
 _W, _D, _S = f"[{WORD}]", r"\p{Nd}", f"[{SPACE}]"
@@ -28,6 +28,22 @@ PATTERNS = (
 SPAN = "array<struct<text:string,label:string,start_pos:int,end_pos:int>>"
 
 
+_PHRASES = tuple(sorted((m.replace("_", " ") for m in METRICS), key=len, reverse=True))
+_W, _D, _S = f"[{WORD}]", r"\p{Nd}", f"[{SPACE}]"
+# The patterns of the entities, in their order of priority after the metrics.
+PATTERNS = (
+    ("period", f"{_D}{{1,2}}\\.{_D}{{1,2}}\\.{_D}{{2,4}}"),
+    ("period", f"(?:19|20){_D}{{2}}{_S}*[—–-]{_S}*(?:19|20){_D}{{2}}"),
+    ("period", f"{NOT_AFTER_WORD}{_D}+{_S}*месяц{_W}*"),
+    ("period", f"{NOT_AFTER_WORD}(?:{_D}+|[IVX]+){_S}*квартал{_W}*"),
+    ("period", f"{NOT_AFTER_WORD}(?:19|20){_D}{{2}}{_S}*год{_W}*"),
+    ("unit", f"{NOT_AFTER_WORD}(?:тысяч{_W}*|миллион{_W}*|миллиард{_W}*|тыс|млн|млрд|штук|ед)\\.?|%"),
+    ("currency", f"(?iu:руб(?:лей|ля|ль|л)?\\.?|₽|RUB|USD|EUR|долл(?:ар{_W}*)?)"),
+    ("amount", f"[+-]?{_D}+(?:[ \\x{{a0}}]{_D}{{3}})+(?:[.,]{_D}+)?|[+-]?{_D}+(?:[.,]{_D}+)?"),
+)
+SPAN = "array<struct<text:string,label:string,start_pos:int,end_pos:int>>"
+
+
 def _python(pattern: str) -> re.Pattern:
     """A pattern of this module for CPython, whose classes are Unicode but spelt otherwise."""
     p = pattern.replace(f"[{WORD}]", r"\w").replace(NOT_AFTER_WORD, r"(?<!\w)").replace(NOT_BEFORE_WORD, r"(?!\w)").replace(f"[{SPACE}]", r"\s")
@@ -35,7 +51,7 @@ def _python(pattern: str) -> re.Pattern:
 
 
 _PHRASES = [(p, re.compile(rf"(?<!\w){re.escape(p)}(?!\w)", re.I)) for p in METRIC_PHRASES]
-_COMPILED = [(label, _python(p)) for label, p in PATTERNS]
+_COMPILED = [(label, python_pattern(p)) for label, p in PATTERNS]
 
 
 def spans_of(text: str) -> list[tuple[str, str, int, int]]:

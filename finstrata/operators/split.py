@@ -21,7 +21,6 @@ def split_records(df: DataFrame, keys: list[str], ratio: float = 0.85, seed: int
     sorts more than one bucket.
     """
     h = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
-    buckets = 4096
     d = df.withColumn("__h", h).withColumn("__b", F.shiftrightunsigned("__h", 52).cast("int"))
     sizes = d.groupBy("__b").agg(F.count("*").alias("__c"))
     total = sizes.agg(F.sum("__c").alias("__total"))
@@ -31,7 +30,6 @@ def split_records(df: DataFrame, keys: list[str], ratio: float = 0.85, seed: int
     cut = F.when(cut >= F.col("__total"), F.greatest(F.lit(0), F.col("__total") - 1)).otherwise(cut)
     rank = F.row_number().over(W.partitionBy("__b").orderBy("__h", *keys)) + F.col("__before")
     out = d.join(F.broadcast(before), "__b").withColumn("part", F.when(rank <= cut, "train").otherwise("validation"))
-    assert buckets == 1 << 12
     return out.drop("__h", "__b", "__before", "__total")
 
 

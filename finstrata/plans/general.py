@@ -37,3 +37,21 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_spans": p3_spans}
+
+# Objects and lists may be given as JSON strings, an object in place of a list; a record may be wrapped.
+_LIST = """CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN
+    CASE json_type(({x} ->> '$')::JSON) WHEN 'ARRAY' THEN ({x} ->> '$')::JSON WHEN 'OBJECT' THEN json_array(({x} ->> '$')::JSON) END END END"""
+_SPANS = f"""WITH v AS MATERIALIZED (SELECT DISTINCT line_id, CASE WHEN json_valid(raw_line) THEN raw_line::JSON END AS j FROM annotation_lines WHERE contains(raw_line, '{{')),
+    r AS (SELECT line_id, CASE WHEN json_type(j -> '$.record') = 'OBJECT' AND json_type(j -> '$.chunks') IS NULL THEN j -> '$.record' ELSE j END AS r FROM v WHERE json_type(j) = 'OBJECT'),
+    w AS MATERIALIZED (SELECT line_id, {_LIST.format(x="(r -> '$.chunks')")} AS l FROM r),
+    c AS (SELECT line_id, unnest(range(json_array_length(l)::BIGINT)) AS chunk_pos, l FROM w WHERE json_array_length(l) > 0),
+    d AS (SELECT line_id, chunk_pos, json_extract(l, '$[' || chunk_pos || '].spans') AS s FROM c WHERE json_type(json_extract(l, '$[' || chunk_pos || ']')) = 'OBJECT'),
+    e AS MATERIALIZED (SELECT line_id, chunk_pos, {_LIST.format(x="s")} AS l FROM d),
+    f AS (SELECT line_id, chunk_pos, unnest(range(json_array_length(l)::BIGINT)) AS span_pos, l FROM e WHERE json_array_length(l) > 0),
+    g AS (SELECT line_id, chunk_pos::INT AS chunk_pos, span_pos::INT AS span_pos, json_extract(l, '$[' || span_pos || ']') AS s FROM f)"""
+
+ORACLES = {
+    "p3_found": f"{_SPANS} SELECT line_id, chunk_pos, span_pos FROM g WHERE json_type(s) = 'OBJECT'",
+    "p3_spans": f"""{_SPANS} SELECT line_id, chunk_pos, span_pos, s ->> '$.text' AS text, s ->> '$.label' AS label, try_cast(s ->> '$.start' AS INT) AS start_pos,
+        try_cast(s ->> '$.end' AS INT) AS end_pos FROM g WHERE json_type(s) = 'OBJECT'""",
+}

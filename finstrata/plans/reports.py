@@ -134,7 +134,6 @@ def _sql_steps() -> dict[str, object]:
 
 def _register_steps() -> None:
     sql = _sql_steps()
-    chain = "text"
     for step in text.STEPS:
 
         def one(spark, d, step=step):
@@ -145,7 +144,6 @@ def _register_steps() -> None:
     ctes = ["s0 AS (SELECT doc_id, text AS t FROM documents)"]
     for i, step in enumerate(text.STEPS):
         ctes.append(f"s{i + 1} AS (SELECT doc_id, {sql[step.__name__]('t')} AS t FROM s{i})")
-    del chain
     ORACLES["normalize_composed"] = f"WITH {', '.join(ctes)} SELECT doc_id, t AS result FROM s{len(text.STEPS)}"
 
 
@@ -269,7 +267,13 @@ def _position_sql(source: str, keys: str, pattern: str, label: str = "span_text"
         generate_subscripts(regexp_extract_all(text, '{framed}', 2), 1) AS i FROM {source}))"""
 
 
-@_query(_position_sql(_CHUNKS, "doc_id, chunk_id", f"[^{SPACE}]+", "word"))
+def _words_sql(source: str, keys: str) -> str:
+    return f"""SELECT {keys}, word, (e - length(word))::INT AS start_pos, e::INT AS end_pos, (i - 1)::INT AS word_idx FROM (
+        SELECT {keys}, i, regexp_replace(m, '^[{SPACE}]+', '') AS word, sum(length(m)) OVER (PARTITION BY {keys} ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (
+        SELECT {keys}, unnest(l) AS m, generate_subscripts(l, 1) AS i FROM (SELECT {keys}, regexp_extract_all(text, '[{SPACE}]*[^{SPACE}]+') AS l FROM {source})))"""
+
+
+@_query(f"SELECT * EXCLUDE (word_idx) FROM ({_words_sql(_CHUNKS, 'doc_id, chunk_id')})")
 def word_offsets(spark, d):
     c = _chunks(spark, d).select("doc_id", "chunk_id", F.explode(lemma.word_spans(F.col("text"))).alias("w"))
     return c.select("doc_id", "chunk_id", F.col("w.text").alias("word"), "w.start_pos", "w.end_pos")
@@ -332,13 +336,12 @@ def span_validity(spark, d):
 
 # ---------------------------------------------------------------- labels
 
-_WORD_LABELS = f"""wds AS ({_position_sql(_ANNOTATED, 'chunk_key', f'[^{SPACE}]+', 'word')}),
-    wn AS (SELECT *, (row_number() OVER (PARTITION BY chunk_key ORDER BY start_pos) - 1)::INT AS word_idx FROM wds),
-    sp AS (SELECT chunk_key, generate_subscripts(spans, 1) AS k, unnest(spans) AS s FROM {_ANNOTATED}),
+_WORD_LABELS = f"""ac AS MATERIALIZED {_ANNOTATED}, wn AS MATERIALIZED ({_words_sql('ac', 'chunk_key')}),
+    sp AS (SELECT chunk_key, generate_subscripts(spans, 1) AS k, unnest(spans) AS s FROM ac),
     cov AS (SELECT w.chunk_key, w.word_idx, sp.k, s.label AS ent, row_number() OVER (PARTITION BY w.chunk_key, sp.k ORDER BY w.word_idx) AS p, count(*) OVER (PARTITION BY w.chunk_key, sp.k) AS n
         FROM wn w JOIN sp ON w.chunk_key = sp.chunk_key AND 2 * s.start_pos <= w.start_pos + w.end_pos AND w.start_pos + w.end_pos < 2 * s.end_pos),
     lab AS (SELECT chunk_key, word_idx, arg_max((CASE WHEN n = 1 THEN 'S' WHEN p = 1 THEN 'B' WHEN p = n THEN 'E' ELSE 'I' END) || '-' || ent, k) AS label FROM cov GROUP BY 1, 2),
-    labelled AS (SELECT wn.*, coalesce(lab.label, 'O') AS label FROM wn LEFT JOIN lab USING (chunk_key, word_idx))"""
+    labelled AS MATERIALIZED (SELECT wn.*, coalesce(lab.label, 'O') AS label FROM wn LEFT JOIN lab USING (chunk_key, word_idx))"""
 
 
 @_query(f"WITH {_WORD_LABELS} SELECT chunk_key, word_idx, word, start_pos, end_pos, label FROM labelled")
@@ -357,13 +360,35 @@ def _labelled_arrays(spark, d) -> DataFrame:
     return a.withColumn("labels", bioes.bioes_labels(F.col("words"), F.col("s")))
 
 
-@_query()
+def _walk_sql(first: str, after: str, closed: str) -> str:
+    """The words' labels walked one by one: (op, ent) is the open span; ``after`` gives the next, ``closed`` the spans that end, as lists of (a, b, y)."""
+    return f"""WITH RECURSIVE {_WORD_LABELS},
+        tags AS MATERIALIZED (SELECT chunk_key, word_idx AS i, word, start_pos, end_pos, label[1:1] AS t, regexp_replace(label, '^[^-]*-?', '') AS y FROM labelled),
+        walk AS (SELECT chunk_key, i, {first.format(at="-1", ent="''")} FROM tags n WHERE i = 0
+            UNION ALL SELECT n.chunk_key, n.i, {after.format(at="w.op", ent="w.ent")} FROM walk w JOIN tags n ON n.chunk_key = w.chunk_key AND n.i = w.i + 1),
+        ended AS (SELECT chunk_key, unnest(done) AS x FROM walk
+            UNION ALL SELECT chunk_key, {{'a': op, 'b': i + 1, 'y': ent}} FROM (SELECT *, max(i) OVER (PARTITION BY chunk_key) AS top FROM walk) WHERE i = top AND op >= 0),
+        found AS (SELECT chunk_key, x.a AS a, x.b AS b, x.y AS y, (row_number() OVER (PARTITION BY chunk_key ORDER BY x.a) - 1)::INT AS span_idx FROM ended)
+        SELECT f.chunk_key, span_idx, string_agg(word, ' ' ORDER BY i) AS text, any_value(f.y) AS label, {closed} FROM found f JOIN tags g ON g.chunk_key = f.chunk_key AND g.i >= a AND g.i < b GROUP BY 1, 2"""
+
+
+_NONE = "[]::STRUCT(a INT, b INT, y VARCHAR)[]"
+_STRICT = f"""CASE WHEN {{at}} < 0 THEN CASE WHEN n.t = 'O' THEN -1 ELSE n.i END WHEN n.t IN ('O', 'E') THEN -1 WHEN n.t IN ('B', 'S') OR n.y <> {{ent}} AND n.t = 'I' THEN n.i ELSE {{at}} END AS op,
+    CASE WHEN {{at}} < 0 OR n.t IN ('B', 'S') OR n.t = 'I' AND n.y <> {{ent}} THEN n.y ELSE {{ent}} END AS ent,
+    CASE WHEN {{at}} < 0 OR n.t = 'I' AND n.y = {{ent}} THEN {_NONE} ELSE [{{{{'a': {{at}}, 'b': n.i + (n.t = 'E')::INT, 'y': {{ent}}}}}}] END AS done"""
+_LENIENT = f"""CASE WHEN n.t IN ('O', 'S', 'E') THEN -1 WHEN n.t = 'B' OR {{at}} < 0 THEN n.i ELSE {{at}} END AS op,
+    CASE WHEN n.t = 'B' OR {{at}} < 0 THEN n.y ELSE {{ent}} END AS ent,
+    CASE WHEN {{at}} >= 0 AND n.t IN ('O', 'S', 'B') THEN [{{{{'a': {{at}}, 'b': n.i, 'y': {{ent}}}}}}] ELSE {_NONE} END ||
+    CASE WHEN n.t = 'S' THEN [{{{{'a': n.i, 'b': n.i + 1, 'y': n.y}}}}] WHEN n.t = 'E' THEN [{{{{'a': CASE WHEN {{at}} < 0 THEN n.i ELSE {{at}} END, 'b': n.i + 1, 'y': CASE WHEN {{at}} < 0 THEN n.y ELSE {{ent}} END}}}}] ELSE {_NONE} END AS done"""
+
+
+@_query(_walk_sql(_STRICT, _STRICT, "min(start_pos) AS start_pos, max(end_pos) AS end_pos"))
 def bioes_decoded(spark, d):
-    """Spans decoded from the words' labels; a state machine, tested against plain cases."""
+    """Spans decoded from the words' labels."""
     return _exploded_spans(bioes.decode_bioes(_labelled_arrays(spark, d), ["chunk_key"]), ["chunk_key"])
 
 
-@_query()
+@_query(_walk_sql(_LENIENT, _LENIENT, "(1.0 / (min(i) + 2))::DOUBLE AS confidence"))
 def predictions_decoded(spark, d):
     """Spans with confidences decoded from predicted labels."""
     a = _labelled_arrays(spark, d).withColumn("probs", F.transform("labels", lambda x, i: 1.0 / (i + 2)))
@@ -542,15 +567,15 @@ def _export(spark, d) -> DataFrame:
 @_query(f"""SELECT coalesce(source, 'unknown') AS source, (row_number() OVER (PARTITION BY coalesce(source, 'unknown') ORDER BY coalesce(chunk_id, 0), chunk_key) - 1)::INT AS place,
     coalesce(chunk_id, 0)::INT AS chunk_id, coalesce(text, '') AS text, coalesce(len(list_filter(spans, lambda s: s IS NOT NULL)), 0)::INT AS n_spans FROM {_ANNOTATED}""")
 def export_chunks(spark, d):
-    parsed = records.parse_export(_export(spark, d))
-    c = parsed.select("source", F.posexplode("chunks").alias("place", "c"))
-    return c.select("source", "place", "c.chunk_id", "c.text", F.size("c.spans").alias("n_spans"))
+    c = records.export_chunks(_export(spark, d))
+    place = F.row_number().over(W.partitionBy("source").orderBy("chunk_id", "task_idx")) - 1
+    return c.select("source", place.alias("place"), "chunk_id", "text", F.size("spans").alias("n_spans"))
 
 
 @_query()
 def synthetic_records(spark, d):
     """Generated records, one row per chunk."""
-    g = synth.generate(spark, synth.Options(count=200))
+    g = synth.generate(spark, synth.Options())
     return g.select("source", "risk", F.explode("chunks").alias("c")).select("source", "risk", "c.chunk_id", "c.text", F.size("c.spans").alias("n_spans"))
 
 

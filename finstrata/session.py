@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,23 +55,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared place of ``spark.checkpoint.dir``; one of our own only where none is set (tests)."""
+    """This application's folder in the shared place of ``spark.checkpoint.dir``.
+
+    Only a local master gets a folder of its own where none is set (tests); on a cluster that is an error, as a folder of
+    one machine would lose parts of the tables.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="finstrata-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+#: The cut tables of each open ``cut_tables`` block.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def cut_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``cut`` writes inside the block at its end; results must be written or collected by then."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            p, fs = _path(spark, path)
+            fs.delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut: written once as a table in the shared checkpoint folder and read from there.
 
     A lost executor then costs no recomputation.  Unlike a checkpoint of rows the table is compressed, and later steps
-    read only the columns they need.
+    read only the columns they need.  It is deleted when its ``cut_tables`` block or the application ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

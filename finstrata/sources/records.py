@@ -43,18 +43,26 @@ def labelling_tasks(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa:
     return annotate(df, "text", "__spans").select(*keys, F.to_json(task, {"ignoreNullFields": "false"}).alias("task"))
 
 
-def parse_export(tasks: DataFrame) -> DataFrame:
-    """(source, chunks, risk) of exported tasks (task_idx, data, annotations): chunks sorted by chunk_id, then by task.
+def export_chunks(tasks: DataFrame) -> DataFrame:
+    """(source, chunk_id, task_idx, text, spans): one row per exported task (task_idx, data, annotations); nothing is gathered.
 
     Results without labels are skipped, the first label counts, all annotators' results are merged; an absent source is
-    'unknown', an absent chunk_id 0, an absent text empty; risk is lost.  Order sources by ``first_task`` for that of
-    the export.
+    'unknown', an absent chunk_id 0, an absent text empty.
     """
     results = F.flatten(F.transform(F.coalesce("annotations", F.array().cast(EXPORT_ANNOTATIONS)), lambda a: F.coalesce(a["result"], F.array().cast(EXPORT_RESULTS))))
     values = F.filter(F.transform(results, lambda r: r["value"]), lambda v: F.size(v["labels"]) > 0)
     spans = F.transform(values, lambda v: F.struct(F.coalesce(v["text"], F.lit("")).alias("text"), v["labels"][0].alias("label"), F.coalesce(v["start"], F.lit(0)).alias("start"), F.coalesce(v["end"], F.lit(0)).alias("end")))
-    chunk = F.struct(F.coalesce(F.col("data.chunk_id").cast("int"), F.lit(0)).alias("chunk_id"), F.col("task_idx"), F.coalesce("data.text", F.lit("")).alias("text"), spans.alias("spans"))
-    grouped = tasks.groupBy(F.coalesce("data.source", F.lit("unknown")).alias("source")).agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.min("task_idx").alias("first_task"))
+    return tasks.select(F.coalesce("data.source", F.lit("unknown")).alias("source"), F.coalesce(F.col("data.chunk_id").cast("int"), F.lit(0)).alias("chunk_id"), "task_idx", F.coalesce("data.text", F.lit("")).alias("text"), spans.alias("spans"))
+
+
+def parse_export(tasks: DataFrame) -> DataFrame:
+    """(source, chunks, risk, first_task): :func:`export_chunks` as records, chunks sorted by chunk_id, then by task; risk is lost.
+
+    A record is one row, so sources must fit in a row each; use :func:`export_chunks` where many tasks lack a source.
+    Order sources by ``first_task`` for that of the export.
+    """
+    chunk = F.struct("chunk_id", "task_idx", "text", "spans")
+    grouped = export_chunks(tasks).groupBy("source").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.min("task_idx").alias("first_task"))
     return grouped.select("source", F.transform("c", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"), c["spans"].alias("spans"))).alias("chunks"), F.lit(None).cast("string").alias("risk"), "first_task")
 
 

@@ -13,6 +13,7 @@ from ..operators.resolve import resolve_slots
 from ..operators.spans import annotate
 from ..operators.text import normalize
 from ..plans.pipeline import preprocess
+from ..session import cut_tables
 
 
 def stream_slots(chunks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -28,11 +29,13 @@ def stream_normalized(chunks: DataFrame, text: str = "text") -> DataFrame:
 def preprocess_stream(sections: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:  # noqa: B008
     """Chunk whole documents of every micro-batch; a document's sections must arrive in one batch.
 
-    ``write`` gets the chunks and the batch number, which it can use to write each batch once.
+    ``write`` gets the chunks and the batch number, which it can use to write each batch once.  What a batch keeps on disk
+    is deleted when it is written.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        write(preprocess(df, settings), number)
+        with cut_tables(df.sparkSession):
+            write(preprocess(df, settings), number)
 
     return sections.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -71,3 +71,35 @@ def test_streams(spark, data, tmp_path):
     assert sum(seen) > 0
     assert flows.stream_normalized(spark.createDataFrame([("ё",)], "text string")).first().text == "е"
     assert flows.late_counts(spark.read.parquet(f"{data}/events.parquet")).count() > 0
+
+
+def test_cut_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from finstrata import session
+
+    root = Path(session.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("cut-*"))
+    with session.cut_tables(spark):
+        assert session.cut(spark.range(5)).count() == 5 and len(set(root.glob("cut-*")) - before) == 1
+    assert set(root.glob("cut-*")) == before
+
+
+def test_long_text_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from finstrata.operators import bioes, chunk
+
+    df = spark.createDataFrame([(1, "слово " * 1_000_000, [("слово", "metric", 0, 5)])], "k int, text string, spans array<struct<text:string,label:string,start_pos:int,end_pos:int>>")
+    began = time.time()
+    assert bioes.label_words(df, ["k"]).where("label = 'S-metric'").count() == 1 and bioes.label_words(df, ["k"]).count() == 1_000_000
+    assert spark.range(1).select(F.array_max(chunk.pack(F.sequence(F.lit(1), F.lit(200_000)), 100_000)).alias("n")).first().n > 100_000
+    assert time.time() - began < 60
+
+
+def test_packages():
+    from finstrata.operators.chunk import packages
+
+    assert packages([3, 3, 5, 1, 9, 0], 6) == [0, 0, 1, 1, 2, 2] and packages([], 5) == [] and packages([7], 5) == [0]
