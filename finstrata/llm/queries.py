@@ -92,6 +92,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
 
 ORACLES = {
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+        ds AS (SELECT doc_id, array_to_string(w[k : k + 17], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 16)) AS k FROM d)),
+        its AS (SELECT item_id, array_to_string(w[k : k + 17], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 16)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM ds JOIN its USING (g)""",
     "p6_found": r"""
         SELECT DISTINCT doc_id, chunk_id FROM chunks
         WHERE len(regexp_extract_all(text, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}]+')) > 128""",
