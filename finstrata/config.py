@@ -21,6 +21,8 @@ class Settings:
     pdf_least_chars: int = 50
     ocr_language: str = "rus"
     ocr_dpi: int = 300
+    ocr_psm: int = 4
+    ocr_oem: int = 1
     ner_max_length: int = 128
     risk_max_length: int = 256
     epochs: int = 6

@@ -15,6 +15,9 @@ from ..schemas import SPANS
 from .lemma import word_spans
 
 
+PREDICTED = "array<struct<text: string, label: string, confidence: double>>"
+
+
 def labels_of(starts: list[int], ends: list[int], spans: list[dict | None] | None) -> list[str]:
     """A BIOES label for each word, given by its bounds in order: a span covers the words whose middle lies in it, the last one counts."""
     twice = [a + b for a, b in zip(starts, ends, strict=True)]
@@ -92,7 +95,7 @@ def spans_of_predictions(labels: list[str]) -> list[tuple[int, int, str]]:
     return out + ([(at, len(labels), entity)] if at >= 0 else [])
 
 
-def _mapped(df: DataFrame, keys: list[str], inputs: list[Column], made: str, kind: str, one: Callable) -> DataFrame:
+def map_lists(df: DataFrame, keys: list[str], inputs: list[Column], made: str, kind: str, one: Callable) -> DataFrame:
     """``keys`` and ``made``, by ``one`` of each row's ``inputs``; a state machine over lists, run in Arrow batches."""
     src = df.select(*keys, *[c.alias(f"__{i}") for i, c in enumerate(inputs)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keys)]) + f", `{made}` {kind}"
@@ -118,7 +121,7 @@ def decode_bioes(df: DataFrame, keys: list[str], words: str = "words", labels: s
         return [{"text": " ".join(w[a:b]), "label": k, "start_pos": s[a], "end_pos": e[b - 1]} for a, b, k in spans_of_labels(list(t))]
 
     w = F.col(words)
-    return _mapped(df, keys, [w["text"], w["start_pos"], w["end_pos"], F.col(labels)], "spans", SPANS, one)
+    return map_lists(df, keys, [w["text"], w["start_pos"], w["end_pos"], F.col(labels)], "spans", SPANS, one)
 
 
 def decode_predictions(df: DataFrame, keys: list[str], words: str = "words", labels: str = "labels", probs: str = "probs") -> DataFrame:
@@ -127,7 +130,7 @@ def decode_predictions(df: DataFrame, keys: list[str], words: str = "words", lab
     def one(w, t, p) -> list[dict]:
         return [{"text": " ".join(w[a:b]), "label": k, "confidence": p[a]} for a, b, k in spans_of_predictions(list(t))]
 
-    return _mapped(df, keys, [F.col(words)["text"], F.col(labels), F.col(probs)], "spans", "array<struct<text: string, label: string, confidence: double>>", one)
+    return map_lists(df, keys, [F.col(words)["text"], F.col(labels), F.col(probs)], "spans", PREDICTED, one)
 
 
 def continuation_label(label: Column) -> Column:

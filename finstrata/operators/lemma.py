@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +36,38 @@ def word_spans(text: Column) -> Column:
 def explode_tokens(df: DataFrame, keys: list[str], text: str = "text", overrides: bool = False) -> DataFrame:
     """``keys``, word_idx (from 0), token, lemma."""
     return df.select(*keys, F.posexplode(tokens(F.col(text), overrides)).alias("word_idx", "t")).select(*keys, "word_idx", F.col("t.text").alias("token"), F.col("t.lemma").alias("lemma"))
+
+
+@lru_cache(maxsize=1)
+def linguistic_model() -> Callable[[str], list[tuple[str, str]]] | None:
+    """(token, lemma) pairs by the Russian pipeline of an optional package, loaded once per worker; None where it is missing."""
+    try:
+        import spacy
+
+        nlp = spacy.load("ru_core_news_md")
+    except (ImportError, OSError):
+        return None
+    return lambda text: [(t.text, t.lemma_) for t in nlp(text) if not t.is_space]
+
+
+def model_available(make: Callable[[], Callable | None] = linguistic_model) -> bool:
+    """Whether ``make`` gives a model here."""
+    return make() is not None
+
+
+def linguistic_tokens(text: Column, make: Callable[[], Callable[[str], list[tuple[str, str]]] | None] = linguistic_model) -> Column:
+    """ARRAY<STRUCT<text, lemma>> by the model that ``make`` gives on each worker, the financial dictionary going first.
+
+    Where there is no model, tokens are split at whitespace and their lemma is their lower case.  Null for null.
+    """
+
+    @F.pandas_udf("array<struct<text: string, lemma: string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for s in batches:
+            if model is None:
+                yield pd.Series([None if t is None else [{"text": w, "lemma": w.lower()} for w in t.split()] for t in s], dtype=object)
+            else:
+                yield pd.Series([None if t is None else [{"text": w, "lemma": LEMMAS.get(w.lower(), m)} for w, m in model(t)] for t in s], dtype=object)
+
+    return run(text)

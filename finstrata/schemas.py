@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-RECORD = "source string, chunks array<struct<chunk_id: int, text: string, spans: array<struct<text: string, label: string, start: int, end: int>>>>, risk string"
+RECORD_SPANS = "array<struct<text: string, label: string, start: int, end: int>>"
+RECORD_CHUNKS = f"array<struct<chunk_id: int, text: string, spans: {RECORD_SPANS}>>"
+RECORD = f"source string, chunks {RECORD_CHUNKS}, risk string"
+RECORD_FIELDS = f"source: string, chunks: {RECORD_CHUNKS}, risk: string"
 SECTIONS = "array<struct<section_idx: int, page: int, block_type: string, text: string, cell_rows: array<array<string>>, y_top: double, y_bottom: double>>"
 DOCUMENT = {"filename": "string", "document_type": "string", "sections": SECTIONS, "raw_text": "string", "metadata": "map<string, string>"}
 EXPORT_RESULTS = "array<struct<value: struct<text: string, labels: array<string>, start: int, end: int>>>"

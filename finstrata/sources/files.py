@@ -8,9 +8,11 @@ row with ``error`` and no sections, so one bad file fails no job.
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -18,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..schemas import DOCUMENT
 from .detect import SUFFIXES
 
@@ -112,7 +115,7 @@ def _tag(element: ElementTree.Element) -> str:
 
 
 def parse_docx(content: bytes) -> list[dict]:
-    """Sections of a Word file in body order: paragraphs that aren't blank, and all tables."""
+    """Sections of a Word file in body order: paragraphs that aren't blank, and all tables; merged cells repeat their text."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = next(e for e in ElementTree.fromstring(z.read("word/document.xml")) if _tag(e) == "body")
 
@@ -126,13 +129,15 @@ def parse_docx(content: bytes) -> list[dict]:
             if text := paragraph(e).strip():
                 out.append(_section("title" if is_title(text) else "paragraph", text))
         elif _tag(e) == "tbl":
-            rows = []
+            rows: list[list[str]] = []
             for tr in (x for x in e if _tag(x) == "tr"):
-                cells = []
+                cells: list[str] = []
                 for tc in (x for x in tr if _tag(x) == "tc"):
+                    marks = {_tag(x): next((v for k, v in x.attrib.items() if k.endswith("val")), "") for props in tc if _tag(props) == "tcPr" for x in props}
                     text = "\n".join(paragraph(x) for x in tc if _tag(x) == "p").strip()
-                    span = next((int(v) for x in tc.iter() if _tag(x) == "gridSpan" for k, v in x.attrib.items() if k.endswith("val")), 1)
-                    cells += [text] * span
+                    if marks.get("vMerge", "restart") != "restart" and rows and len(cells) < len(rows[-1]):
+                        text = rows[-1][len(cells)]  # goes on from the cell above
+                    cells += [text] * int(marks.get("gridSpan") or 1)
                 rows.append(cells)
             out.append(_section("table", table_text(rows), rows))
     return out
@@ -149,7 +154,10 @@ def parse_xlsx(content: bytes) -> list[dict]:
         links = {}
         if "xl/_rels/workbook.xml.rels" in names:
             links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [s for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        sheets = [s for s in book.iter() if _tag(s) == "sheet"]
+        since = datetime(1904, 1, 1) if any(x.get("date1904") in ("1", "true") for x in book.iter() if _tag(x) == "workbookPr") else _EPOCH
+        dated = _dated_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else {}
         for i, s in enumerate(sheets, 1):
             title = s.get("name", "")
             out.append(_section("title", title))
@@ -162,7 +170,7 @@ def parse_xlsx(content: bytes) -> list[dict]:
                 cells: list[str] = []
                 for c in (x for x in row if _tag(x) == "c"):
                     at = _column(c.get("r", ""), len(cells))
-                    cells += [""] * (at - len(cells)) + [_cell(c, shared)]
+                    cells += [""] * (at - len(cells)) + [_cell(c, shared, dated, since)]
                 if any(cells):
                     rows.append(cells)
             width = max(map(len, rows), default=0)
@@ -179,7 +187,41 @@ def _column(ref: str, default: int) -> int:
     return n - 1 if n else default
 
 
-def _cell(c: ElementTree.Element, shared: list[str]) -> str:
+_EPOCH = datetime(1899, 12, 30)
+# The numbers of the built-in formats of dates and times.
+_DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)])
+
+
+def _dated_styles(content: bytes) -> dict[int, str]:
+    """date or duration for the cell styles whose number format shows one."""
+    root = ElementTree.fromstring(content)
+    codes = {int(f.get("numFmtId", -1)): f.get("formatCode", "") for f in root.iter() if _tag(f) == "numFmt"}
+    out = {}
+    for xfs in (x for x in root if _tag(x) == "cellXfs"):
+        for i, xf in enumerate(xfs):
+            number = int(xf.get("numFmtId", 0))
+            code = codes.get(number, "")
+            plain = re.sub(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code.lower())
+            if number == 46 or re.search(r"\[(?:h+|m+|s+)\]", plain):
+                out[i] = "duration"
+            elif number in _DATE_FORMATS and not code or re.search("[dmhys]", plain.partition(";")[0]):
+                out[i] = "date"
+    return out
+
+
+def _moment(days: float, kind: str, since: datetime) -> str:
+    """The text of a date, a time of day or a duration that is stored as a number of days."""
+    if kind == "duration":
+        return str(timedelta(days=days))
+    part = timedelta(milliseconds=round(days % 1 * 86_400_000))
+    if 0 <= days < 1 and part < timedelta(days=1):
+        return str((datetime.min + part).time())
+    early = since == _EPOCH and 0 < days < 60  # the calendar there has a 29 February 1900
+    return str(since + timedelta(days=math.floor(days) + early) + part)
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dated: dict[int, str], since: datetime) -> str:
+    """The text of a cell's value: numbers with a point or exponent as floats, dates as dates, truth values as True and False."""
     kind = c.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter() if _tag(t) == "t").strip()
@@ -188,7 +230,16 @@ def _cell(c: ElementTree.Element, shared: list[str]) -> str:
         return shared[int(value)].strip()
     if kind == "b" and value:
         return "True" if value == "1" else "False"
-    return value.strip()
+    if kind == "d" and value:
+        return str(datetime.fromisoformat(value))
+    if kind != "n" or not value.strip():
+        return value.strip()
+    try:
+        number = float(value) if set(value) & set(".eE") else int(value)
+        style = dated.get(int(c.get("s", 0)))
+        return _moment(number, style, since) if style else str(number)
+    except (ValueError, OverflowError):
+        return value.strip()
 
 
 def parse_pdf_text(content: bytes) -> list[dict]:
@@ -208,12 +259,12 @@ def parse_pdf_text(content: bytes) -> list[dict]:
                 kind = "header" if y0 < 0.05 * height else "footer" if y1 > 0.95 * height else "title" if is_title(text) else "paragraph"
                 out.append(_section(kind, text, None, number, round(y0 / height, 4), round(y1 / height, 4)))
             for t in tables:
-                rows = [[c or "" for c in r] for r in t.extract()]
-                out.append(_section("table", table_text(rows), rows, number))
+                rows = [[(c or "").strip() for c in r] for r in t.extract()]
+                out.append(_section("table", table_text(rows), rows, number, round(t.bbox[1] / height, 4), round(t.bbox[3] / height, 4)))
     return out
 
 
-def parse_pdf_scan(content: bytes, recognize: Callable[[bytes], list[str]] | None = None, language: str = "rus+eng", dpi: int = 300) -> list[dict]:
+def parse_pdf_scan(content: bytes, recognize: Callable[[bytes], list[str]] | None = None, settings: Settings = Settings()) -> list[dict]:  # noqa: B008
     """One paragraph per page with recognised text.  ``recognize`` gives the pages' texts; else PyMuPDF and pytesseract are needed."""
     if recognize:
         texts = recognize(content)
@@ -222,12 +273,13 @@ def parse_pdf_scan(content: bytes, recognize: Callable[[bytes], list[str]] | Non
         import pytesseract
         from PIL import Image, ImageOps
 
+        language = settings.ocr_language if "eng" in settings.ocr_language else f"{settings.ocr_language}+eng"
         texts = []
         with fitz.open(stream=content, filetype="pdf") as doc:
             for page in doc:
-                pix = page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72))
+                pix = page.get_pixmap(dpi=settings.ocr_dpi)
                 image = ImageOps.autocontrast(Image.frombytes("RGB", (pix.width, pix.height), pix.samples).convert("L"))
-                texts.append(pytesseract.image_to_string(image, lang=language, config="--oem 1 --psm 4"))
+                texts.append(pytesseract.image_to_string(image, lang=language, config=f"--oem {settings.ocr_oem} --psm {settings.ocr_psm}"))
     return [_section("paragraph", t.strip(), None, i) for i, t in enumerate(texts, 1) if t.strip()]
 
 
@@ -239,7 +291,7 @@ def register_parser(kind: str, parser: Callable[[bytes], list[dict]]) -> None:
     PARSERS[kind] = parser
 
 
-def parse_document(name: str, content: bytes, recognize: Callable[[bytes], list[str]] | None = None) -> dict:
+def parse_document(name: str, content: bytes, recognize: Callable[[bytes], list[str]] | None = None, settings: Settings = Settings()) -> dict:  # noqa: B008
     """The document of one file; ValueError for other kinds of file."""
     base = name.replace("\\", "/").rpartition("/")[2]
     ext = "." + base.rpartition(".")[2].lower() if "." in base.strip(".") else ""
@@ -247,8 +299,9 @@ def parse_document(name: str, content: bytes, recognize: Callable[[bytes], list[
     if kind is None:
         raise ValueError(f"unsupported file: {base}")
     if kind == "pdf":
-        kind = pdf_kind(content)
-    sections = parse_pdf_scan(content, recognize) if kind == "pdf_scan" and recognize else PARSERS[kind](content)
+        kind = pdf_kind(content, settings.pdf_sample_pages, settings.pdf_least_chars)
+    scan = kind == "pdf_scan" and PARSERS[kind] is parse_pdf_scan
+    sections = parse_pdf_scan(content, recognize, settings) if scan else PARSERS[kind](content)
     for i, s in enumerate(sections):
         s["section_idx"] = i
     return {"filename": base, "document_type": kind, "sections": sections, "raw_text": "\n".join(s["text"] for s in sections), "metadata": {}}
@@ -264,7 +317,7 @@ def pdf_kind(content: bytes, sample_pages: int = 3, least_chars: int = 50) -> st
     return "pdf_text" if n and chars / n >= least_chars else "pdf_scan"
 
 
-def parse_files(files: DataFrame, recognize: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+def parse_files(files: DataFrame, recognize: Callable[[bytes], list[str]] | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(path, error, and the columns of a document) of ``files`` (path, content)."""
     fields = list(DOCUMENT)
     schema = "path string, error string, " + ", ".join(f"{name} {kind}" for name, kind in DOCUMENT.items())
@@ -274,7 +327,7 @@ def parse_files(files: DataFrame, recognize: Callable[[bytes], list[str]] | None
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows.append({"path": path, "error": None, **parse_document(path, bytes(content), recognize)})
+                    rows.append({"path": path, "error": None, **parse_document(path, bytes(content), recognize, settings)})
                 except Exception as e:  # noqa: BLE001 - the row carries it
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500], **dict.fromkeys(fields)})
             yield pd.DataFrame(rows, columns=["path", "error", *fields])
@@ -282,9 +335,9 @@ def parse_files(files: DataFrame, recognize: Callable[[bytes], list[str]] | None
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def read_reports(spark: SparkSession, path: str, recognize: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, recognize: Callable[[bytes], list[str]] | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The documents of all files under ``path``."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), recognize)
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), recognize, settings)
 
 
 def sections_of(documents: DataFrame, key: str = "path") -> DataFrame:

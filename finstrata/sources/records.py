@@ -5,17 +5,36 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import ENTITIES, RISKS
 from ..operators.spans import annotate
-from ..schemas import EXPORT_ANNOTATIONS, EXPORT_RESULTS, EXPORT_TASK, RECORD, SPANS
+from ..schemas import EXPORT_ANNOTATIONS, EXPORT_RESULTS, EXPORT_TASK, RECORD, RECORD_CHUNKS, RECORD_FIELDS, RECORD_SPANS, SPANS
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON lines; blank lines are skipped, a broken line raises an error."""
+def record_problem(record: Column) -> Column:
+    """What is wrong with a record: an unknown label or risk, a missing text, or a span whose text isn't the chunk's text at its bounds; null for sound ones."""
+    def span(c: Column, s: Column) -> Column:
+        return F.coalesce(F.substring(c["text"], s["start"] + 1, s["end"] - s["start"]) == s["text"], F.lit(False))
+
+    chunks = F.coalesce(record["chunks"], F.array().cast(RECORD_CHUNKS))
+    spans = lambda c: F.coalesce(c["spans"], F.array().cast(RECORD_SPANS))
+    known = F.forall(chunks, lambda c: F.forall(spans(c), lambda s: F.coalesce(s["label"].isin(*ENTITIES), F.lit(False))))
+    aligned = F.forall(chunks, lambda c: F.forall(spans(c), lambda s: span(c, s)))
+    return (
+        F.when(record["source"].isNull(), "no source").when(record["risk"].isNotNull() & ~record["risk"].isin(*RISKS), "unknown risk")
+        .when(F.exists(chunks, lambda c: c["text"].isNull()), "no text").when(~known, "unknown label").when(~aligned, "span not at its bounds")
+    )
+
+
+def read_records(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
+    """Records of JSON lines; blank lines are skipped, a broken line raises an error, and so does a record with a :func:`record_problem` unless ``validate`` is off."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parsed = lines.select(F.from_json("value", RECORD, {"mode": "FAILFAST"}).alias("r"))
+    if validate:
+        problem = record_problem(F.col("r"))
+        parsed = parsed.select(F.when(problem.isNull(), F.col("r")).otherwise(F.raise_error(F.concat(problem, F.lit(": "), F.to_json("r"))).cast(f"struct<{RECORD_FIELDS}>")).alias("r"))
     return parsed.select("r.*")
 
 

@@ -102,4 +102,4 @@ def test_long_text_in_linear_time(spark):
 def test_packages():
     from finstrata.operators.chunk import packages
 
-    assert packages([3, 3, 5, 1, 9, 0], 6) == [0, 0, 1, 1, 2, 2] and packages([], 5) == [] and packages([7], 5) == [0]
+    assert packages([3, 3, 5, 1, 9, 0], 6) == [0, 0, 1, 1, 2, 3] and packages([], 5) == [] and packages([7], 5) == [0]
