@@ -14,7 +14,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def fold(word: str, specks: bool = True) -> str:
 
 def head_key(line: str) -> str:
     """A running line without its page number, case, spacing and punctuation; a very long one by its ends and its hash."""
-    key = "".join(c for c in _EDGE_NUMBER.sub("", line).lower() if c.isalnum())
+    key = "".join(filter(str.isalnum, _EDGE_NUMBER.sub("", line).lower()))
     return key if len(key) <= KEY_CHARS else key[: KEY_CHARS // 2] + key[-KEY_CHARS // 2 :] + md5(key.encode()).hexdigest()
 
 
@@ -125,9 +127,10 @@ def _edge(i: int, foot: bool, line: str) -> tuple:
     s = line.strip()
     key = head_key(s)
     m = _PAGE_NUMBER.match(s)
-    first, last = _FIRST.match(s), _LAST.search(s)
+    first, last = _FIRST.match(s), s[-1:] in _HYPHENS and _LAST.search(s)
     number = int(m[1]) if m and not _GROUPED.match(s) else None
-    return i, foot, key, sum(c.isalpha() for c in key), s.endswith((".", ",", ";", ":")) or bool(_BROKEN.search(s)), number, first and first[0], last and last[1]
+    stop = s.endswith((".", ",", ";", ":")) or s[-1:] in _HYPHENS and bool(_BROKEN.search(s))
+    return i, foot, key, sum(map(str.isalpha, key)), stop, number, first and first[0], last[1] if last else None
 
 
 def page_features(text: str | None) -> tuple[list, list, list] | None:
@@ -147,7 +150,7 @@ def page_features(text: str | None) -> tuple[list, list, list] | None:
             continue
         if i in begun and line.lstrip().startswith(tokens[0]):
             tokens = tokens[1:]
-        if tokens and _BROKEN.search(line):
+        if tokens and line.rstrip(" ")[-1:] in _HYPHENS and _BROKEN.search(line):
             j = after.get(i)
             nxt = lines[j].lstrip() if j is not None else ""
             a, b = _LAST.search(line), _FIRST.match(nxt)
@@ -162,20 +165,38 @@ def page_features(text: str | None) -> tuple[list, list, list] | None:
                 words.append((head[0].lower(), j, j, len(head[0]), _PART))
                 words.append(((first + head[0]).lower(), i, j, len(first), _WHOLE))
         for t in tokens:
-            if t.isalpha() or not t.isdigit() and (any(map(str.isalpha, t)) and (not t.isascii() or t[0].isalpha()) or number_in(t)):
+            if t.isalpha() or not t.isdecimal() and (any(map(str.isalpha, t)) and (not t.isascii() or t[0].isalpha()) or number_in(t)):
                 words.append((t.lower(), i, i, len(t), _PLAIN))
         if "-" in line or "‐" in line or "‑" in line:
             words += [(re.sub("[‐‑]", "-", c).lower(), i, i, 0, _HYPHENATED) for c in _COMPOUND.findall(line)]
     return edges, words, breaks
 
 
+_EDGE_TYPE = pa.struct([("line_no", pa.int32()), ("foot", pa.bool_()), ("key", pa.string()), ("letters", pa.int32()), ("stop", pa.bool_()), ("number", pa.int32()), ("first", pa.string()), ("last", pa.string())])
+_FORM_TYPE = pa.list_(pa.struct([("form", pa.string()), ("own", pa.bool_()), ("whole", pa.bool_())]))
+_BREAK_TYPE = pa.struct([("line_no", pa.int32()), ("next_no", pa.int32()), ("upper", pa.bool_()), ("first", pa.string()), ("rest", pa.string()), ("forms", _FORM_TYPE)])
+_WORD_TYPE = pa.struct([("word", pa.string()), ("line_no", pa.int32()), ("next_no", pa.int32()), ("at", pa.int32()), ("role", pa.int32())])
+
+
+def _lists(rows: list[list[tuple]], kind: pa.DataType) -> pa.Array:
+    """A list array of structs, made column by column."""
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = list(zip(*(r for row in rows for r in row), strict=True)) or [()] * kind.num_fields
+    parts = []
+    for i, values in enumerate(flat):
+        t = kind.field(i).type
+        parts.append(_lists([[tuple(f) for f in v] for v in values], t.value_type) if pa.types.is_list(t) else pa.array(values, t))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, fields=list(kind)))
+
+
 def _features(text: Column) -> Column:
-    @F.pandas_udf(_FEATURES)
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([page_features(t) or ([], [], []) for t in s], columns=["edges", "words", "breaks"])
+    @F.arrow_udf(_FEATURES)
+    def features(texts: pa.Array) -> pa.Array:
+        found = [page_features(t) or ([], [], []) for t in texts.to_pylist()]
+        parts = [_lists([f[i] for f in found], t) for i, t in enumerate((_EDGE_TYPE, _WORD_TYPE, _BREAK_TYPE))]
+        return pa.StructArray.from_arrays(parts, ["edges", "words", "breaks"])
 
-    return features(text)
+    return features.asNondeterministic()(text)
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -217,9 +238,11 @@ def recurring(keys: dict[str, set]) -> dict[str, set]:
         shared = Counter(leader for g in grams for leader in lists.get(g, ()))
         # an edit takes at most four grams away; repeated grams of a key count once
         for leader, n in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
-            k = max(len(key), len(leader)) // 5
-            if n >= len(grams) - 4 * k and n >= 2 and within(leader, key, k):
-                member[key] = leader, within(leader, key, max(len(key), len(leader)) // 10)
+            longer = max(len(key), len(leader))
+            if n < max(2, len(grams) - 4 * (longer // 5)):
+                continue
+            if (near := within(leader, key, longer // 10)) or within(leader, key, longer // 5):
+                member[key] = leader, near
                 pages[leader] |= keys[key]
                 break
         else:
@@ -256,11 +279,13 @@ def window_noise(pages: list[tuple], lo: int, hi: int) -> tuple[list, list]:
                 heads[e["foot"]][e["key"]].add(section)
                 if e["letters"] < HEAD_LETTERS or e["foot"] and e["stop"]:
                     weak[e["foot"]].add(e["key"])
+    if len(pages) < 2:
+        heads = {}
     offset = max(votes, key=lambda o: (len(outer[o]), len(votes[o]), o == 0, o), default=None)
     steady = {foot: recurring(found) for foot, found in heads.items()}
 
     def runs(e) -> bool:
-        on = steady[e["foot"]].get(e["key"])
+        on = steady.get(e["foot"], {}).get(e["key"])
         return on is not None and (e["key"] not in weak[e["foot"]] or len(on) >= max(3, len(pages) / 2))
 
     kinds, body = [], []
@@ -297,12 +322,16 @@ def _edge_noise(pages: DataFrame, doc_id: str, section: str, page: str) -> DataF
     grouped = rows.groupBy(doc_id, "w").agg(F.array_sort(F.collect_list("p")).alias("pages"))
     kind = pages.schema[section].dataType.simpleString()
 
-    @F.pandas_udf(_WINDOW_NOISE % (kind, kind))
-    def noise(w: pd.Series, p: pd.Series) -> pd.DataFrame:
-        out = [window_noise([(x["section"], x["page"], x["edges"]) for x in ps], n * WINDOW, (n + 1) * WINDOW) for n, ps in zip(w, p, strict=True)]
-        return pd.DataFrame(out, columns=["kinds", "turns"])
+    number = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32()}.get(kind, pa.int64())
+    kind_type = pa.struct([("section", number), ("line_no", pa.int32()), ("kind", pa.string())])
+    turn_type = pa.struct([("section", number), ("line_no", pa.int32()), ("upper", pa.bool_()), ("first", pa.string()), ("rest", pa.string()), ("forms", _FORM_TYPE)])
+
+    @F.arrow_udf(_WINDOW_NOISE % (kind, kind))
+    def noise(w: pa.Array, p: pa.Array) -> pa.Array:
+        out = [window_noise([(x["section"], x["page"], x["edges"]) for x in ps], n * WINDOW, (n + 1) * WINDOW) for n, ps in zip(w.to_pylist(), p.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([_lists([o[0] for o in out], kind_type), _lists([o[1] for o in out], turn_type)], ["kinds", "turns"])
 
-    return grouped.select(doc_id, noise(F.col("w"), F.col("pages")).alias("n")).select(doc_id, "n.*")
+    return grouped.select(doc_id, noise.asNondeterministic()(F.col("w"), F.col("pages")).alias("n")).select(doc_id, "n.*")
 
 
 def settled_breaks(breaks: DataFrame, vocab: DataFrame, at: list[str]) -> DataFrame:
