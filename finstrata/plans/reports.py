@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import ENTITIES, IGNORED_ID, LABELS, LEMMAS, METRICS, NOISE_PATTERNS
-from ..functions.regex import SPACE, WORD
+from ..functions.regex import NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE, WORD
 from ..operators import bioes, chunk, encode, lemma, metrics, noise, resolve, spans, split, synth, text
 from ..session import table
 from ..sources import detect, records
@@ -298,9 +298,41 @@ def _exploded_spans(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.posexplode("spans").alias("span_idx", "s")).select(*keys, "span_idx", "s.*")
 
 
-@_query()
+_BEFORE = f"(?:^|[^{WORD}])"
+
+
+def _scan_sql(i: int, label: str, pattern: str, keys: str) -> str:
+    """All matches of a pattern in the texts ``src``; the engine has no lookbehind, so the character before is matched and not counted."""
+    guarded = pattern.startswith(NOT_AFTER_WORD)
+    bare = pattern.removeprefix(NOT_AFTER_WORD).replace("(?iu:", "(?i:")
+    ahead = bare.endswith(NOT_BEFORE_WORD)
+    bare = bare.removesuffix(NOT_BEFORE_WORD)
+    framed = f"(?s)(.*?{_BEFORE if guarded else ''})({bare})"
+    # the character after a match is looked at in the text
+    after = f"AND NOT regexp_matches(substr(text, e::BIGINT + 1, 1), '[{WORD}]')" if ahead else ""
+    return f"""m{i} AS (SELECT *, '{label}' AS label FROM (SELECT {keys}, text, h, (e - length(h))::INT AS a, e::INT AS b, e FROM (
+        SELECT {keys}, text, h, sum(length(g) + length(h)) OVER (PARTITION BY {keys} ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM (
+        SELECT {keys}, text, unnest(regexp_extract_all(text, '{framed}', 1)) AS g, unnest(regexp_extract_all(text, '{framed}', 2)) AS h,
+        generate_subscripts(regexp_extract_all(text, '{framed}', 2), 1) AS i FROM src))) WHERE true {after})"""
+
+
+def _rule_spans_sql(source: str, keys: str = "doc_id, chunk_id") -> str:
+    """CTEs up to ``rs`` (keys, text, h, a, b, label, span_idx): the matches by priority, without those that overlap one taken before."""
+    scans = [("metric", f"{NOT_AFTER_WORD}(?i:{p}){NOT_BEFORE_WORD}") for p in spans.METRIC_PHRASES] + list(spans.PATTERNS)
+    same = " AND ".join(f"t.{k} = n.{k}" for k in keys.split(", "))
+    ctes = [f"src AS MATERIALIZED (SELECT {keys}, text FROM {source})"]
+    for i, (label, pattern) in enumerate(scans):
+        ctes.append(_scan_sql(i, label, pattern, keys))
+        mine = f"SELECT {keys}, text, h, a, b, label FROM m{i}"
+        if i:
+            mine = f"SELECT * FROM t{i - 1} UNION ALL ({mine} n WHERE NOT EXISTS (FROM t{i - 1} t WHERE {same} AND t.a < n.b AND n.a < t.b))"
+        ctes.append(f"t{i} AS MATERIALIZED ({mine})")
+    return ", ".join([*ctes, f"rs AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY a, b - a) - 1)::INT AS span_idx FROM t{len(scans) - 1})"])
+
+
+@_query(f"WITH {_rule_spans_sql(_CHUNKS)} SELECT doc_id, chunk_id, span_idx, h AS text, label, a AS start_pos, b AS end_pos FROM rs")
 def rule_spans(spark, d):
-    """Spans of all labels, packed; the SQL engine has no lookbehind, so tests compare it with a plain scan."""
+    """Spans of all labels, packed."""
     return _exploded_spans(spans.annotate(_chunks(spark, d).select("doc_id", "chunk_id", "text")), ["doc_id", "chunk_id"])
 
 
@@ -395,20 +427,22 @@ def predictions_decoded(spark, d):
     return _exploded_spans(bioes.decode_predictions(a, ["chunk_key"]), ["chunk_key"])
 
 
-def _slots_sql() -> str:
+def _slots_sql(spans: str, keys: str) -> str:
+    """Slots of ``sp`` (keys, text, k, s), which the CTEs ``spans`` give."""
+    same = " AND ".join(f"c.{k} = m.{k}" for k in keys.split(", "))
     near = ", ".join(
-        f"""(SELECT struct_pack(t := s.text, a := s.start_pos, b := s.end_pos) FROM sp c WHERE c.chunk_key = m.chunk_key AND c.s.label = '{x}'
+        f"""(SELECT struct_pack(t := s.text, a := s.start_pos, b := s.end_pos) FROM sp c WHERE {same} AND c.s.label = '{x}'
         ORDER BY greatest(0, greatest(c.s.start_pos, m.s.start_pos) - least(c.s.end_pos, m.s.end_pos)), c.k LIMIT 1) AS {x}""".replace("s.text", "c.s.text").replace("a := s.", "a := c.s.").replace("b := s.", "b := c.s.")
         for x in ("amount", "period", "currency", "unit")
     )
-    return f"""WITH sp AS (SELECT chunk_key, text, generate_subscripts(spans, 1) AS k, unnest(spans) AS s FROM {_ANNOTATED}),
-        m AS (SELECT * FROM sp WHERE s.label = 'metric'), n AS (SELECT chunk_key, text, k, s, {near} FROM m),
+    return f"""WITH {spans},
+        m AS (SELECT * FROM sp WHERE s.label = 'metric'), n AS (SELECT {keys}, text, k, s, {near} FROM m),
         b AS (SELECT *, greatest(0, least(s.start_pos, coalesce(amount.a, s.start_pos)) - 80) AS lo, greatest(s.end_pos, coalesce(amount.b, s.end_pos)) + 80 AS hi FROM n)
-        SELECT chunk_key, (k - 1)::INT AS anchor_idx, s.text AS metric, period.t AS period, currency.t AS currency, unit.t AS unit, amount.t AS value,
+        SELECT {keys}, (k - 1)::INT AS anchor_idx, s.text AS metric, period.t AS period, currency.t AS currency, unit.t AS unit, amount.t AS value,
         substring(text, lo + 1, hi - lo) AS context FROM b"""
 
 
-@_query(_slots_sql())
+@_query(_slots_sql(f"sp AS (SELECT chunk_key, text, generate_subscripts(spans, 1) AS k, unnest(spans) AS s FROM {_ANNOTATED})", "chunk_key"))
 def resolved_slots(spark, d):
     return resolve.resolve_slots(_annotated(spark, d), ["chunk_key"])
 
@@ -419,7 +453,10 @@ def pipeline_chunks(spark, d):
     return pipeline.preprocess(_sections(spark, d)).select("doc_id", "chunk_id", "text", "section_anchor", "page", F.size("tokens").alias("n_tokens"))
 
 
-@_query()
+_SPAN = "struct_pack(text := h, label := label, start_pos := a, end_pos := b)"
+
+
+@_query(_slots_sql(f"{_rule_spans_sql(_CHUNKS)}, sp AS MATERIALIZED (SELECT doc_id, chunk_id, text, span_idx + 1 AS k, {_SPAN} AS s FROM rs)", "doc_id, chunk_id"))
 def pipeline_slots(spark, d):
     """Slots of chunks, by rule-based spans."""
     return pipeline.extract_slots(_chunks(spark, d), ["doc_id", "chunk_id"])
@@ -549,7 +586,10 @@ def early_stopping(spark, d):
     return split.best_epochs(runs, ["user_id"])
 
 
-@_query()
+@_query(f"""WITH {_rule_spans_sql(_ANNOTATED, 'chunk_key')}, v AS (SELECT chunk_key, list(struct_pack(from_name := 'entities', to_name := 'text', type := 'labels',
+        value := struct_pack(start := a, "end" := b, text := h, labels := [label])) ORDER BY span_idx) AS r FROM rs GROUP BY 1)
+    SELECT chunk_key, to_json(struct_pack(data := struct_pack(text := text, source := source, chunk_id := chunk_id), predictions := [struct_pack(model_version := 'baseline', result := coalesce(r, []))]))::VARCHAR AS task
+    FROM {_ANNOTATED} LEFT JOIN v USING (chunk_key)""")
 def labelling_tasks(spark, d):
     """Task payloads with predictions."""
     return records.labelling_tasks(_annotated(spark, d).select("chunk_key", "source", "chunk_id", "text"), ["chunk_key"])
