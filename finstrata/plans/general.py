@@ -36,7 +36,19 @@ def p3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.span_bridge.join(t.span_objects, "span_node").select("line_id", "chunk_pos", "span_pos", "text", "label", "start_pos", "end_pos")
 
 
-QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_spans": p3_spans}
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record table."""
+    t = flatten_records(table(spark, sf_dir, "annotation_lines"), wanted=["records"])
+    return t.records.select("line_id", "source", "risk")
+
+
+def p3_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table: occurrences with their parents' keys, joined to the objects stored once."""
+    t = flatten_records(table(spark, sf_dir, "annotation_lines"), wanted=["chunk_bridge", "chunk_objects"])
+    return t.chunk_bridge.join(t.chunk_objects, "chunk_node").select("line_id", "chunk_pos", "chunk_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_amounts": p2_amounts, "p3_found": p3_found, "p3_spans": p3_spans, "p3_records": p3_records, "p3_chunks": p3_chunks}
 
 # Objects and lists may be given as JSON strings, an object in place of a list; a record may be wrapped.
 _LIST = """CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'OBJECT' THEN json_array({x}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN
@@ -51,6 +63,9 @@ _SPANS = f"""WITH v AS MATERIALIZED (SELECT DISTINCT line_id, CASE WHEN json_val
     g AS (SELECT line_id, chunk_pos::INT AS chunk_pos, span_pos::INT AS span_pos, json_extract(l, '$[' || span_pos || ']') AS s FROM f)"""
 
 ORACLES = {
+    "p3_records": f"{_SPANS} SELECT line_id, r ->> '$.source' AS source, r ->> '$.risk' AS risk FROM r",
+    "p3_chunks": f"""{_SPANS} SELECT line_id, chunk_pos::INT AS chunk_pos, try_cast(c ->> '$.chunk_id' AS INT) AS chunk_id, c ->> '$.text' AS text
+        FROM (SELECT line_id, chunk_pos, json_extract(l, '$[' || chunk_pos || ']') AS c FROM c) WHERE json_type(c) = 'OBJECT'""",
     "p3_found": f"{_SPANS} SELECT line_id, chunk_pos, span_pos FROM g WHERE json_type(s) = 'OBJECT'",
     "p3_spans": f"""{_SPANS} SELECT line_id, chunk_pos, span_pos, s ->> '$.text' AS text, s ->> '$.label' AS label, try_cast(s ->> '$.start' AS INT) AS start_pos,
         try_cast(s ->> '$.end' AS INT) AS end_pos FROM g WHERE json_type(s) = 'OBJECT'""",
