@@ -84,14 +84,30 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.describe_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def p9_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain ratios of every document."""
+    return p9_statistics(spark, sf_dir).select("doc_id", "word_count", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")])
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly no natural prose."""
     return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics, p9_ratios)}
+
+_SPACES = r"\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}"
+_COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON_WORDS))
 
 ORACLES = {
+    "p9_ratios": rf"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^{_SPACES}]+') AS w, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS p,
+            list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^{_SPACES}]')) AS l FROM documents),
+        s AS (SELECT *, list_sum(list_transform(w, lambda x: length(x))) AS solid FROM t WHERE len(w) > 0)
+        SELECT d.doc_id, len(w)::BIGINT AS word_count, round(solid / len(w), 6) AS mean_word_length, round((solid - coalesce(list_sum(list_transform(p, lambda x: length(x))), 0)) / solid, 6) AS symbol_ratio,
+            round(len(list_filter(l, lambda s: regexp_matches(s, '[.!?…:;»"”)][{_SPACES}]*$'))) / len(l), 6) AS punct_line_share,
+            round(len(list_filter(p, lambda x: x IN ({_COMMON}))) / greatest(1, len(p)), 6) AS common_word_share
+        FROM documents d LEFT JOIN s USING (doc_id)""",
     "p8_found": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
         ds AS (SELECT doc_id, array_to_string(w[k : k + 17], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 16)) AS k FROM d)),
