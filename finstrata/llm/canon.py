@@ -187,6 +187,26 @@ def canonicalize_spans(df: DataFrame, spans: str = "spans", to: str = "canonical
     return out.withColumn(to, F.expr(f"transform(`{spans}`, (s, i) -> if(s is null, null, named_struct({rebuilt})))")).drop("__canon")
 
 
+def _looks(df: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """(key, look, form): hashes of the canonical form and of the text of every row of at least ``min_words`` words, written once."""
+    src = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    canon = canonicalize(src, "__text", "__canon").where(F.size(F.filter(F.split("__canon", r"(?U)\s+"), lambda w: w != "")) >= min_words)
+    return cut(canon.select("__key", F.unhex(F.md5("__canon")).alias("look"), F.unhex(F.md5("__text")).alias("form")).distinct())  # 40 bytes a row, read several times
+
+
+def look_alike_rows(df: DataFrame, key: str = "chunk_key", text: str = "text", min_words: int = 8) -> DataFrame:
+    """(<key>, class_id, form_id, n_forms, n_partners): every row whose text has a look-alike, with its class, in place of pairs.
+
+    ``n_forms`` is the number of different texts of the class, ``n_partners`` that of the rows with another text of it.
+    Nulls and short texts give nothing; repeated rows count once.
+    """
+    rows = _looks(df, key, text, min_words)
+    forms = rows.groupBy("look", "form").agg(F.countDistinct("__key").alias("n"))
+    looks = forms.groupBy("look").agg(F.count("*").alias("n_forms"), F.sum("n").alias("all")).where("n_forms > 1")
+    partners = forms.join(looks, "look").select("look", "form", "n_forms", (F.col("all") - F.col("n")).alias("n_partners"))
+    return rows.join(partners, ["look", "form"]).select(F.col("__key").alias(key), F.hex("look").alias("class_id"), F.hex("form").alias("form_id"), "n_forms", "n_partners")
+
+
 def look_alike_pairs(df: DataFrame, key: str = "chunk_key", text: str = "text", min_words: int = 8) -> DataFrame:
     """Distinct pairs (``<key>_a`` < ``<key>_b``) of texts that look the same and differ in some code point.
 
@@ -194,10 +214,7 @@ def look_alike_pairs(df: DataFrame, key: str = "chunk_key", text: str = "text",
     joined to their rows, so a group of exact copies, however large, pairs with nothing.  Null texts and texts of
     fewer than ``min_words`` words give nothing.
     """
-    src = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    canon = canonicalize(src, "__text", "__canon").where(F.size(F.filter(F.split("__canon", r"(?U)\s+"), lambda w: w != "")) >= min_words)
-    rows = canon.select("__key", F.unhex(F.md5("__canon")).alias("look"), F.unhex(F.md5("__text")).alias("form")).distinct()
-    rows = cut(rows)  # 40 bytes a row; read by the three joins below
+    rows = _looks(df, key, text, min_words)
     forms = rows.groupBy("look", "form").agg(F.lit(1).alias("one"))
     several = forms.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     forms = forms.join(several, "look", "left_semi").select("look", "form")

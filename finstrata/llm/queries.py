@@ -35,6 +35,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(table(spark, sf_dir, "annotated_chunks"))
 
 
+def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that have look-alikes, with their class."""
+    return canon.look_alike_rows(table(spark, sf_dir, "annotated_chunks"))
+
+
 def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text and span texts in canonical form."""
     df = table(spark, sf_dir, "annotated_chunks").dropDuplicates(["chunk_key"])
@@ -94,7 +99,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_statistics(spark, sf_dir).where("text_kind <> 'prose'").select("doc_id", "text_kind").distinct()
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics, p9_ratios)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_repaired, p1_documents, p4_found, p4_rows, p4_canonical, p5_found, p5_counts, p5_rows, p6_found, p6_pieces, p7_ids, p8_found, p9_found, p9_statistics, p9_ratios)}
 
 _SPACES = r"\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}"
 _COMMON = ", ".join(f"'{w}'" for w in sorted(quality.COMMON_WORDS))

@@ -44,6 +44,9 @@ def test_pairs_against_brute_force(spark):
     texts = {k: t for k, t in rows if t}
     want = sorted((a, b) for a, b in itertools.combinations(sorted(texts), 2) if texts[a] != texts[b] and len(texts[a].split()) >= 8 and canon.canonical(texts[a]) == canon.canonical(texts[b]))
     assert got == want and (1, 2) in got and (1, 3) not in got
+    classes = {r.chunk_key: r for r in canon.look_alike_rows(chunks(spark, rows)).collect()}
+    assert set(classes) == {k for p in want for k in p} and all(r.n_partners == sum(k in p for p in want) for k, r in classes.items())
+    assert len({r.class_id for r in classes.values()}) == 1 and {r.n_forms for r in classes.values()} == {len({texts[k] for k in classes})}
     assert canon.look_alike_pairs(chunks(spark, [])).count() == 0
 
 
